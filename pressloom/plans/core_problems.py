@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,46 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.feed_status(table(spark, sf_dir, "scores"), scores_feed())
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p1_found": p1_found, "p1_states": p1_states, "p4_found": p4_found, "p6_found": p6_found, "p6_status": p6_status}
+
+
+P4_SQL = r"""
+WITH told AS (
+  SELECT id, exported_at, loaded_at,
+         trim(regexp_replace(name, '[\s\p{Z}]+', ' ', 'g')) AS name,
+         nullif(trim(regexp_replace(target, '[\s\p{Z}]+', ' ', 'g')), '') AS target,
+         lower(trim(regexp_replace(status, '[\s\p{Z}]+', ' ', 'g'))) AS status,
+         CAST(last_seen AT TIME ZONE 'UTC' AS DATE) AS seen
+  FROM story),
+holding AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, exported_at ORDER BY loaded_at DESC) AS r FROM told) WHERE r = 1),
+marked AS (
+  SELECT *, CASE WHEN row_number() OVER w > 1
+      AND name IS NOT DISTINCT FROM lag(name) OVER w AND target IS NOT DISTINCT FROM lag(target) OVER w
+      AND status IS NOT DISTINCT FROM lag(status) OVER w AND seen IS NOT DISTINCT FROM lag(seen) OVER w THEN 0 ELSE 1 END AS opens
+  FROM holding WINDOW w AS (PARTITION BY id ORDER BY exported_at))
+SELECT id AS story_id, strftime(exported_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS valid_from,
+       coalesce(strftime(lead(exported_at) OVER (PARTITION BY id ORDER BY exported_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), '') AS valid_to
+FROM marked WHERE opens = 1
+"""
+
+P6_SQL = """
+SELECT article_id, coalesce(issue_id, '') AS issue_id, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY article_id, issue_id ORDER BY coalesce("at", scored_at) DESC NULLS LAST, seq DESC) AS r
+  FROM (SELECT DISTINCT article_id, issue_id, seq, "at", scored_at, deleted FROM scores)) AS ranked
+WHERE r = 1 AND NOT coalesce(deleted, false)
+"""
+
+P6_STATUS_SQL = """
+WITH n AS (SELECT DISTINCT seq FROM scores), r AS (SELECT seq, row_number() OVER (ORDER BY seq) AS rn FROM n),
+w AS (SELECT coalesce(max(seq), 0) AS watermark FROM r WHERE seq = rn)
+SELECT watermark, max(seq) AS top, count(*) AS lines, max(seq) - count(*) AS missing, count(*) FILTER (WHERE seq > watermark) AS held
+FROM n, w GROUP BY watermark
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p4_found": P4_SQL, "p6_found": P6_SQL, "p6_status": P6_STATUS_SQL}
