@@ -8,7 +8,7 @@ Method: density peaks over blocked neighbour joins.
    of the number of points). Every point joins the blocks of its ``BLOCKS`` nearest pivots; the
    nearest is its home. Pivots follow the data, so a hot cluster has as many blocks as it deserves;
    blocks beyond ``TILE`` points are cut into tiles that meet pairwise in separate tasks.
-3. In a block one matrix product per strip gives all similarities. A point's local density is the
+3. In a block matrix products, strip by strip, give all similarities. A point's local density is the
    weight of its neighbours in its home block; its pointer goes to the nearest denser neighbour
    (ties by id); points without one are local peaks. Peaks whose points touch are one group, as the
    groups asked for are chains of neighbours.
@@ -20,11 +20,12 @@ stored vectors. Recall of the blocks is measured against brute force in the test
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.operators.components import connected_components
@@ -37,46 +38,73 @@ LEAST_PIVOTS, SAMPLE = 8, 65_536
 TILE = 16_384
 MARGIN = 2e-4
 STRIP = 1024
+#: Links of a block kept as a list.
+FEW_LINKS = 6_000_000
 SCALE = 32767.0
 
 
 def usable(vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int]) -> DataFrame:
-    """``id, model, v`` (array<double>, length one) of vectors that count.
+    """``id, model, q``: vectors that count, scaled to length one and to 16-bit integers.
 
     A vector counts if it and its model are present, it has its model's length, all numbers are
-    finite and not all zero. Repeated ids count once, null ids do not. Unknown models do not count.
+    finite and not all zero. Repeated ids count once (the least row), null ids do not, nor do models
+    without a known length.
     """
-    fits = F.lit(False)
-    for name, n in lengths.items():
-        fits = fits | ((F.col(model) == name) & (F.size(vector) == n))
-    finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    some = F.exists(F.col(vector), lambda x: x != 0)
-    good = vectors.filter(F.col(rid).isNotNull() & F.col(vector).isNotNull() & F.col(model).isNotNull()).filter(fits & finite & some)
-    one = good.groupBy(F.col(rid).cast("long").alias("id")).agg(F.min(F.struct(F.col(model).alias("model"), F.col(vector).cast("array<double>").alias("x"))).alias("r"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v))
-    return one.select("id", "r.model", "r.x").withColumn("n", norm).select("id", "model", F.transform("x", lambda v: v / F.col("n")).alias("v"))
+    wanted = dict(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("model", pa.string()), ("q", pa.binary())])
+        for batch in batches:
+            ids, names, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2)
+            names = np.array(names, dtype=object)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # missing numbers are NaN
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64), nan=0).astype(np.int64)
+            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            for name, n in wanted.items():
+                rows = np.flatnonzero((names == name) & (sizes == n))
+                if not len(rows):
+                    continue
+                v = flat[begin[rows][:, None] + np.arange(n)[None, :]]
+                good = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+                v, rows = v[good], rows[good]
+                v /= np.abs(v).max(axis=1, keepdims=True)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                q = np.rint(v * SCALE).astype("<i2")
+                blob = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * 2 * n).astype(np.int32)), pa.py_buffer(q.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows].astype(np.int64)), pa.array([name] * len(rows)), blob], schema=schema)
+
+    rows = vectors.filter(F.col(rid).isNotNull() & F.col(vector).isNotNull() & F.col(model).isNotNull())
+    rows = rows.select(F.col(rid).cast("long").alias("id"), F.col(model).alias("model"), F.col(vector).alias("v"))
+    unit = rows.mapInArrow(run, "id long, model string, q binary")
+    return unit.groupBy("id").agg(F.min(F.struct("model", "q")).alias("r")).select("id", "r.model", "r.q")
 
 
 def points_of(unit: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(points ``rep, model, v, weight``; membership ``id, rep``): identical vectors are one point."""
-    keyed = unit.withColumn("key", F.struct(F.xxhash64("v").alias("x"), F.hash("v").alias("h")))
-    reps = keyed.groupBy("key", "model").agg(F.min(F.struct("id", "v")).alias("r"), F.count("*").alias("weight"))
-    points = reps.select(F.col("r.id").alias("rep"), "model", F.col("r.v").alias("v"), F.col("weight").cast("double").alias("weight"), "key")
-    members = keyed.join(points.select("key", "model", "rep"), ["key", "model"]).select("id", "rep")
-    return points.drop("key"), members
+    """(points ``rep, model, q, weight``; membership ``id, rep``): equal vectors are one point."""
+    key = [F.xxhash64("model", "q").alias("k"), F.hash("q", "model").alias("h")]
+    reps = unit.groupBy(*key).agg(F.min(F.struct("id", "model", "q")).alias("r"), F.count("*").cast("float").alias("weight"))
+    points = reps.select("r.model", F.col("r.id").alias("rep"), "r.q", "weight")
+    members = unit.select("id", *key).join(reps.select("k", "h", F.col("r.id").alias("rep")), ["k", "h"]).select("id", "rep")
+    return points, members
+
+
+def unpack(blobs: Iterable[bytes], n: int) -> np.ndarray:
+    """(n, dimensions) float32 of length one from 16-bit integers."""
+    v = np.frombuffer(b"".join(blobs), "<i2").reshape(n, -1).astype(np.float32)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def choose_pivots(points: DataFrame, counts: dict[str, int]) -> dict[str, np.ndarray]:
-    """Pivots of each model, at most ``SAMPLE`` in all of them: the points of least hash."""
+    """Pivots of each model, at most ``SAMPLE`` for one: the points of least hash."""
     out = {}
     for model, n in counts.items():
         want = int(min(max(LEAST_PIVOTS, PIVOTS * np.sqrt(n)), SAMPLE))
-        rows = points.filter(F.col("model") == model).orderBy(F.xxhash64("rep"), "rep").limit(want).select("v").toPandas()
-        out[model] = np.vstack(rows["v"].to_numpy()).astype(np.float32)
+        rows = points.filter(F.col("model") == model).orderBy(F.xxhash64("rep"), "rep").select("q").limit(want).collect()
+        out[model] = unpack((bytes(r["q"]) for r in rows), len(rows))
     return out
 
 
-def _assign(pivots, offsets: dict[str, int], blocks: int):  # noqa: ANN001
+def _assign(pivots, offsets: dict[str, int], blocks: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = pivots.value
         for pdf in batches:
@@ -85,138 +113,166 @@ def _assign(pivots, offsets: dict[str, int], blocks: int):  # noqa: ANN001
                 m = min(blocks, len(p))
                 for s in range(0, len(part), 2048):
                     sub = part.iloc[s : s + 2048]
-                    v = np.vstack(sub["v"].to_numpy()).astype(np.float32)
-                    sims = v @ p.T
+                    blobs = sub["q"].to_numpy()
+                    sims = unpack(blobs, len(sub)) @ p.T
                     near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
                     home = near[np.arange(len(sub)), np.take_along_axis(sims, near, 1).argmax(axis=1)]
-                    q = [row.tobytes() for row in np.rint(v * SCALE).astype(np.int16)]
                     yield pd.DataFrame(
                         {
                             "block": (near + offsets[model]).ravel(),
                             "rep": np.repeat(sub["rep"].to_numpy(), m),
-                            "weight": np.repeat(sub["weight"].to_numpy().astype(np.float32), m),
+                            "weight": np.repeat(sub["weight"].to_numpy(np.float32), m),
                             "home": (near == home[:, None]).ravel(),
-                            "q": np.repeat(np.array(q, dtype=object), m),
+                            "q": np.repeat(blobs, m),
                         }
                     )
 
     return run
 
 
-def _block_links(threshold: float):
-    """All links of one block (or pair of tiles) as density, pointers and doubtful pairs.
+class _Links:
+    """Neighbours in one block, as a list if they are few, otherwise computed strip by strip again."""
+
+    def __init__(self, v: np.ndarray, tile: np.ndarray | None, threshold: float):
+        self.v, self.tile, self.n = v, tile, len(v)
+        self.lo, self.hi = threshold - MARGIN, threshold + MARGIN
+        self.few: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def _strips(self) -> Iterator[tuple[int, np.ndarray]]:
+        for s in range(0, self.n, STRIP):
+            sims = self.v[s : s + STRIP] @ self.v.T
+            sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2.0
+            if self.tile is not None:
+                sims[self.tile[s : s + STRIP, None] == self.tile[None, :]] = -2.0
+            yield s, sims
+
+    def first_pass(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight of each point's neighbours, and the pairs too near the threshold to tell."""
+        density = np.zeros(self.n, np.float64)
+        kept: list | None = []
+        total, da, db = 0, [], []
+        for s, sims in self._strips():
+            i, j = np.nonzero(sims >= self.lo)
+            value = sims[i, j]
+            i = i + s
+            unsure = value < self.hi
+            half = unsure & (i < j)
+            da.append(i[half])
+            db.append(j[half])
+            i, j, value = i[~unsure], j[~unsure], value[~unsure]
+            density += np.bincount(i, weight[j], self.n)
+            total += len(i)
+            if kept is not None:
+                kept.append((i.astype(np.int32), j.astype(np.int32), value))
+                if total > FEW_LINKS:
+                    kept = None
+        if kept is not None and kept:
+            self.few = tuple(np.concatenate(x) for x in zip(*kept, strict=True))  # type: ignore[assignment]
+        return density, np.concatenate(da) if da else np.empty(0, int), np.concatenate(db) if db else np.empty(0, int)
+
+    def lists(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if self.few is not None:
+            yield self.few
+            return
+        for s, sims in self._strips():
+            i, j = np.nonzero(sims >= self.hi)
+            yield i + s, j, sims[i, j]
+
 
-    Rows out: kind 0 pointer or peak link (a, b); 1 density of a; 2 pair too near the threshold.
+def _block_links(threshold: float):  # noqa: ANN202
+    """All links of one block (or pair of tiles) as pointers, densities and doubtful pairs.
+
+    Rows out: kind 0 link (a, b), along pointers or between peaks whose points touch; 1 density of a;
+    2 pair too near the threshold.
     """
-    lo, hi = threshold - MARGIN, threshold + MARGIN
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
-        rep = pdf["rep"].to_numpy()
+        rep, weight, home = pdf["rep"].to_numpy(np.int64), pdf["weight"].to_numpy(np.float64), pdf["home"].to_numpy(bool)
         n = len(rep)
-        v = np.frombuffer(b"".join(pdf["q"].to_numpy()), np.int16).reshape(n, -1).astype(np.float32)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        weight, home, own = pdf["weight"].to_numpy(np.float32), pdf["home"].to_numpy(), pdf["tile"].to_numpy()
-        density = np.zeros(n, np.float32)
-        links_i, links_j, links_s, doubt_a, doubt_b = [], [], [], [], []
-        root = np.arange(n)
-        cross = bool(len(pdf)) and pdf["first"].iloc[0] != pdf["second"].iloc[0]
-        # density first, then pointers: two passes over the strips, nothing quadratic is kept
-        for s in range(0, n, STRIP):
-            sims = v[s : s + STRIP] @ v.T
-            near = sims >= hi
-            if cross:
-                near &= own[s : s + STRIP, None] != own[None, :]
-            density[s : s + STRIP] = near @ weight
+        cross = bool(n) and pdf["first"].iloc[0] != pdf["second"].iloc[0]
+        links = _Links(unpack(pdf["q"].to_numpy(), n), pdf["tile"].to_numpy() if cross else None, threshold)
+        density, da, db = links.first_pass(weight)
         order = np.lexsort((rep, -density))
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        pointer = np.full(n, -1)
-        for s in range(0, n, STRIP):
-            sims = v[s : s + STRIP] @ v.T
-            sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2.0
-            if cross:
-                sims[own[s : s + STRIP, None] == own[None, :]] = -2.0
-            unsure_i, unsure_j = np.nonzero((sims >= lo) & (sims < hi))
-            keep = unsure_i + s < unsure_j
-            doubt_a.append(rep[unsure_i[keep] + s])
-            doubt_b.append(rep[unsure_j[keep]])
-            near = sims >= hi
-            if not near.any():
-                continue
-            denser = np.where(near & (rank[None, :] < rank[s : s + STRIP, None]), sims, -2.0)
-            best = denser.argmax(axis=1)
-            has = denser[np.arange(len(sims)), best] > -2.0
-            pointer[s : s + STRIP][has] = best[has]
-        up = np.where(pointer >= 0, pointer, root)
-        while True:
-            nxt = up[up]
-            if np.array_equal(nxt, up):
-                break
-            up = nxt
-        # peaks whose points touch: one link per pair of peaks is enough
-        seen: set[tuple[int, int]] = set()
-        for s in range(0, n, STRIP):
-            if (pointer[s : s + STRIP] < 0).all() and len(np.unique(up[s : s + STRIP])) == len(up[s : s + STRIP]) and density[s : s + STRIP].max(initial=0) == 0:
-                continue
-            sims = v[s : s + STRIP] @ v.T
-            near = (sims >= hi) & (up[s : s + STRIP, None] != up[None, :])
-            if cross:
-                near &= own[s : s + STRIP, None] != own[None, :]
-            i, j = np.nonzero(near)
-            if len(i):
-                code = np.unique(np.minimum(up[i + s], up[j]) * n + np.maximum(up[i + s], up[j]))
-                seen.update(zip((code // n).tolist(), (code % n).tolist(), strict=True))
-        ptr = np.flatnonzero(pointer >= 0)
-        a = [rep[ptr], np.array([rep[x] for x, _ in seen], np.int64)]
-        b = [rep[up[ptr]], np.array([rep[y] for _, y in seen], np.int64)]
-        a, b = np.concatenate(a), np.concatenate(b)
-        da, db = (np.concatenate(doubt_a), np.concatenate(doubt_b)) if doubt_a else (np.empty(0, np.int64),) * 2
-        dens = home & (density > 0)
+        pointer, best = np.arange(n), np.full(n, -2.0)
+        for i, j, value in links.lists():
+            up = rank[j] < rank[i]
+            i, j, value = i[up], j[up], value[up]
+            by = np.lexsort((rank[j], -value, i))
+            i, j, value = i[by], j[by], value[by]
+            lead = np.ones(len(i), bool)
+            lead[1:] = i[1:] != i[:-1]
+            i, j, value = i[lead], j[lead], value[lead]
+            better = value > best[i]
+            pointer[i[better]], best[i[better]] = j[better], value[better]
+        peak = pointer
+        while not np.array_equal(peak[peak], peak):
+            peak = peak[peak]
+        touching = np.empty(0, np.int64)
+        for i, j, _ in links.lists():
+            a, b = peak[i], peak[j]
+            apart = a != b
+            touching = np.union1d(touching, np.minimum(a, b)[apart].astype(np.int64) * n + np.maximum(a, b)[apart])
+        below = np.flatnonzero(peak != np.arange(n))
+        dens = np.flatnonzero(home & (density > 0))
+        sizes = (len(below), len(touching), len(dens), len(da))
         return pd.DataFrame(
             {
-                "kind": np.concatenate([np.zeros(len(a), np.int8), np.ones(dens.sum(), np.int8), np.full(len(da), 2, np.int8)]),
-                "a": np.concatenate([a, rep[dens], da]).astype(np.int64),
-                "b": np.concatenate([b, rep[dens], db]).astype(np.int64),
-                "w": np.concatenate([np.zeros(len(a)), density[dens].astype(np.float64), np.zeros(len(da))]),
+                "kind": np.repeat(np.array([0, 0, 1, 2], np.int8), sizes),
+                "a": np.concatenate([rep[below], rep[touching // max(n, 1)], rep[dens], rep[da]]),
+                "b": np.concatenate([rep[peak[below]], rep[touching % max(n, 1)], rep[dens], rep[db]]),
+                "w": np.concatenate([np.zeros(sizes[0] + sizes[1]), density[dens], np.zeros(sizes[3])]),
             }
         )
 
     return run
 
 
-def similarity_clusters(spark: SparkSession, unit: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int], threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
     """``id, cluster_id, density``: clusters of two or more; ``cluster_id`` the least id of a cluster.
 
-    ``unit`` has ``id, model, v`` (see :func:`usable`). Points of different models never meet.
-    Identical vectors belong together whatever the threshold. Empty input gives no rows.
+    See :func:`usable` for the vectors that count. Points of different models never meet. Equal
+    vectors belong together. ``density`` counts a point's neighbours in its home block and its own
+    copies. Empty input gives no rows.
     """
-    unit = cut(unit, "unit")
+    spark = vectors.sparkSession
+    unit = cut(usable(vectors, rid, vector, model, lengths), "unit")
     points, members = points_of(unit)
-    points = cut(points, "points")
-    counts = {r["model"]: r["n"] for r in points.groupBy("model").agg(F.count("*").alias("n")).collect()}  # one row per model
-    pivots = choose_pivots(points, counts)
+    counts = {r["model"]: r["n"] for r in unit.groupBy("model").agg(F.count("*").alias("n")).collect()}  # one row per model
+    pivots = choose_pivots(unit.select("model", F.col("id").alias("rep"), "q"), counts)
     offsets, total = {}, 0
-    for model, p in pivots.items():
-        offsets[model], total = total, total + len(p)
-    shared = spark.sparkContext.broadcast(pivots)  # bounded by SAMPLE pivots
+    for name, p in pivots.items():
+        offsets[name], total = total, total + len(p)
+    shared = spark.sparkContext.broadcast(pivots)  # bounded by SAMPLE pivots of a model
     placed = points.mapInPandas(_assign(shared, offsets, blocks), "block long, rep long, weight float, home boolean, q binary")
-    fullest = max(1, int(np.ceil(max(counts.values(), default=1) * blocks / TILE)))
+    fullest = max((int(np.ceil(n * blocks / TILE)) for n in counts.values()), default=1)
     tiles = _tile(placed, fullest)
-    found = tiles.groupBy("block", "first", "second").applyInPandas(_block_links(threshold), "kind byte, a long, b long, w double")
-    found = cut(found, "links")
-    sure = found.filter("kind = 0").select("a", "b").distinct()
-    doubtful = found.filter("kind = 2").select("a", "b").distinct()
-    va = points.select(F.col("rep").alias("a"), F.col("v").alias("va"))
-    vb = points.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    decided = doubtful.join(va, "a").join(vb, "b").filter(dot >= threshold).select("a", "b")
+    found = cut(tiles.groupBy("block", "first", "second").applyInPandas(_block_links(threshold), "kind byte, a long, b long, w double"), "links")
+    sure = found.filter("kind = 0").select("a", "b")
+    decided = _decide(vectors, rid, vector, found.filter("kind = 2").select("a", "b").distinct(), threshold)
     labels = connected_components(sure.union(decided))
-    density = found.filter("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("density"))  # of a tiled home block one part per pair of tiles
-    named = members.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    named = named.join(density, "rep", "left").withColumn("density", F.coalesce("density", F.lit(1.0)))
+    density = found.filter("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("near"))  # a tiled home block gives parts
+    root = members.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").join(density, "rep", "left")
+    named = root.select("id", F.coalesce("root", "rep").alias("root"), (F.coalesce("near", F.lit(0.0)) + 1.0).alias("density"))
     sizes = named.groupBy("root").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).filter("n > 1")
-    return named.join(sizes, "root").select("id", "cluster_id", "n", "density")
+    return named.join(sizes, "root").select("id", "cluster_id", "density")
+
+
+def _decide(vectors: DataFrame, rid: str, vector: str, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose stored vectors, in double precision, reach the threshold."""
+    pairs = cut(pairs, "doubtful")
+    ends = pairs.select(F.col("a").alias("e")).union(pairs.select(F.col("b").alias("e"))).distinct()
+    stored = vectors.select(F.col(rid).cast("long").alias("e"), F.col(vector).alias("v")).join(ends, "e", "left_semi")
+    stored = stored.groupBy("e").agg(F.min("v").alias("v")).withColumn("v", F.col("v").cast("array<double>"))
+    va, vb = stored.select(F.col("e").alias("a"), F.col("v").alias("va")), stored.select(F.col("e").alias("b"), F.col("v").alias("vb"))
+
+    def dot(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
+
+    cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
+    return pairs.join(va, "a").join(vb, "b").filter(cosine >= threshold).select("a", "b")
 
 
 def _tile(placed: DataFrame, fullest: int) -> DataFrame:

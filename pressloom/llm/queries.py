@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import density, history, neardup
+from pressloom.llm import density, history, leakage, neardup, packing
 from pressloom.session import table
 
 #: Length of each model's vectors.
@@ -28,8 +28,7 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = density.usable(table(spark, sf_dir, "article").select("id", "vector", "vector_model"), "id", "vector", "vector_model", LENGTHS)
-    return density.similarity_clusters(spark, unit)
+    return density.similarity_clusters(table(spark, sf_dir, "article"), "id", "vector", "vector_model", LENGTHS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +44,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(table(spark, sf_dir, "article").select("id", "batch", "outlet_id", "url_canon", "guid"), "id", "batch", "outlet_id", "url_canon", "guid", list(range(7)))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how well the containers are filled."""
+    return packing.fill(p7_containers(spark, sf_dir))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(spark, table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", "lang")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and item: the longest verbatim match and the token at which it starts."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", "longest", "at")
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that hold no test item."""
+    return leakage.without_leaks(table(spark, sf_dir, "documents").select("doc_id").distinct(), "doc_id", _leaks(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -52,6 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_clusters": p3_clusters,
         "p5_found": p5_found,
+        "p7_containers": p7_containers,
+        "p7_fill": p7_fill,
+        "p8_found": p8_found,
+        "p8_matches": p8_matches,
+        "p8_kept": p8_kept,
     }
 
 
