@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import density, history, leakage, neardup, packing
+from pressloom.llm import density, history, leakage, neardup, packing, sentences
 from pressloom.session import table
 
 #: Length of each model's vectors.
@@ -71,6 +71,10 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf_dir, "documents").select("doc_id").distinct(), "doc_id", _leaks(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -83,8 +87,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_found": p8_found,
         "p8_matches": p8_matches,
         "p8_kept": p8_kept,
+        "p9_found": p9_found,
     }
 
 
+#: Exact on whole tables: pairs of word sets through a shared word among each set's rarest ones.
+P2_SQL = """
+WITH one AS (SELECT id, min(lower(coalesce(title, '') || ' ' || coalesce(standfirst, ''))) AS text FROM article WHERE id IS NOT NULL GROUP BY id),
+sets AS (SELECT id, list_sort(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS words FROM one),
+words AS (SELECT id, len(words) AS n, unnest(words) AS w FROM sets WHERE len(words) > 0),
+df AS (SELECT w, count(*) AS df FROM words GROUP BY w),
+ranked AS (SELECT id, n, words.w, row_number() OVER (PARTITION BY id ORDER BY df, words.w) AS r FROM words JOIN df USING (w)),
+prefix AS (SELECT id, n, w FROM ranked WHERE r <= n - ceil(0.7 * n - 1e-9) + 1),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.w = b.w AND a.id < b.id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9),
+sized AS (SELECT a, b, len(list_intersect(x.words, y.words)) AS both, len(x.words) + len(y.words) AS total
+          FROM cand JOIN sets x ON x.id = a JOIN sets y ON y.id = b)
+SELECT a AS article_id_a, b AS article_id_b FROM sized WHERE both >= 0.7 * (total - both) - 1e-9
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL}
