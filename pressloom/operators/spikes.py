@@ -91,15 +91,22 @@ def _first_true(change: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
 
 
-def expected_log(y: np.ndarray, hours: np.ndarray, days: np.ndarray, half: int) -> np.ndarray:
-    """Level times rhythm, in logs, for each reading (y may hold NaN)."""
+def expected_log(y: np.ndarray, hours: np.ndarray, days: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Level times rhythm, in logs, for each reading (y may hold NaN): about it, and of its nearer side."""
     hour, dow = np.zeros(24), np.zeros(7)
     level = running_median(y, half)
     for _ in range(3):
         hour = _profile(y - level - dow[days], hours, 24)
         dow = _profile(y - level - hour[hours], days, 7, least=12)
         level = running_median(y - hour[hours] - dow[days], half)
-    return level + hour[hours] + dow[days]
+    rhythm = hour[hours] + dow[days]
+    # at a lasting change of level one side of a reading fits and the other does not: take the nearer
+    side = max(half // 2, 1)
+    near = running_median(y - rhythm, side)
+    at = np.arange(len(y))
+    sides = np.stack([level, near[np.maximum(at - side, 0)], near[np.minimum(at + side, len(y) - 1)]])
+    gap = np.where(np.isfinite(sides), np.abs(y - rhythm - sides), np.inf)
+    return level + rhythm, sides[np.where(np.isfinite(y), gap.argmin(axis=0), 0), at] + rhythm
 
 
 def forward_backward(log_e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -160,13 +167,14 @@ def decide(t: np.ndarray, n: np.ndarray, code: np.ndarray, seen: np.ndarray, bad
     # contents served again carry the count of the poll that first served them: compare it to its time
     same = np.zeros(size, bool)
     same[1:] = (code[1:] == code[:-1]) & (code[1:] >= 0) & (value[1:] == value[:-1])
-    expected = expected_log(np.where(zero, np.nan, y), hours, days, m.half_window)
-    expected = np.where(np.isfinite(expected), expected, np.nanmedian(y) if np.isfinite(y).any() else 0.0)
+    fallback = np.nanmedian(y) if np.isfinite(y).any() else 0.0
+    about, expected = (np.where(np.isfinite(x), x, fallback) for x in expected_log(np.where(zero, np.nan, y), hours, days, m.half_window))
+    around = y - about
     resid = y - expected
     anchor = _first_true(~same)
     lagged = y - expected[anchor]
     resid = np.where(same & (np.abs(lagged) < np.abs(resid)), lagged, resid)
-    core = resid[np.isfinite(resid) & ~same & ~zero]
+    core = around[np.isfinite(around) & ~same & ~zero]
     spread = 1.4826 * np.median(np.abs(core - np.median(core))) if len(core) >= 8 else 0.25
     floor = np.maximum(m.least_spread, m.least_count / np.maximum(np.expm1(expected) + 1.0, 1.0))
     scale = np.maximum(spread, floor)
@@ -255,8 +263,8 @@ def flag_readings(
 ) -> DataFrame:
     """One row per reading id: ``_id, _source, _state, _p_spike, _p_stuck, _flagged``.
 
-    States: see :data:`STATES`. Readings that were not answered are normal unless a bound is broken;
-    readings beyond the bounds in time are out of range and take no part in the model. Repeated ids
+    States: see :data:`STATES`. Readings that were not answered are normal, whatever they hold; answered
+    ones beyond the bounds in time are out of range and take no part in the model. Repeated ids
     count once (the least row); a null id is left out, a null source is a source of its own, a null
     time cannot be placed and is normal, a null count is never a spike. Empty input gives no rows.
     """
@@ -296,7 +304,7 @@ def flag_readings(
     found = marked.groupBy("_source", "_span").applyInPandas(_run(model), SCHEMA)
     found = found.withColumnRenamed("_id", "_fid")
     out = base.join(found, F.col("_id") == F.col("_fid"), "left")
-    hard = F.col("_when_bad") | F.col("_bad") | F.col("_new_bad")
+    hard = F.col("_ok") & (F.col("_when_bad") | F.col("_bad") | F.col("_new_bad"))
     state = F.when(hard, F.lit(STATES[4])).otherwise(F.coalesce("_state", F.lit(STATES[0])))
     return out.select(
         "_id", "_source", state.alias("_state"), F.coalesce("_p_spike", F.lit(0.0)).alias("_p_spike"), F.coalesce("_p_stuck", F.lit(0.0)).alias("_p_stuck"),
