@@ -163,7 +163,7 @@ def clean_name(suggested: Column, fallback: Column) -> Column:
     n = F.regexp_replace(F.trim(n), r"\s+", " ")
     words = F.size(F.split(n, " "))
     good = (n != "") & words.between(2, 6) & (F.length(n) <= 42) & ~n.contains("?") & ~n.rlike(rf"(?i)\b({LOADED_WORDS})\b")
-    return F.when(good, F.concat(F.upper(F.substring(n, 1, 1)), F.expr("''"), n.substr(F.lit(2), F.length(n)))).otherwise(fallback)
+    return F.when(good, F.concat(F.upper(F.substring(n, 1, 1)), n.substr(F.lit(2), F.length(n)))).otherwise(fallback)
 
 
 def parse_date(text: Column) -> Column:

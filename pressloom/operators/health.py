@@ -29,6 +29,7 @@ def feed_health(polls: DataFrame, now: Column) -> DataFrame:
         F.min_by(F.when(is_ok, F.col("n_items")), F.when(is_ok, F.col("rn"))).alias("latest"),
         F.max(F.when(is_ok, F.col("polled_at"))).alias("last_ok"),
         F.min(F.when(is_ok & (F.col("broken") == 0), F.col("polled_at"))).alias("run_start"),
+        F.max(F.when(is_ok & (F.col("broken") == 0), F.col("age"))).alias("run_age"),
         F.count_if(is_ok).alias("n_ok"),
         F.count_if(is_ok & F.col("same")).alias("n_same"),
         (F.coalesce(F.min(F.when(is_ok, F.col("rn"))), F.count("*") + 1) - 1).alias("fails"),
@@ -38,7 +39,7 @@ def feed_health(polls: DataFrame, now: Column) -> DataFrame:
     )
     never = (F.col("n_ok") == F.col("n_same")) & (F.col("n_ok") > 1)
     g = g.withColumn("last_changed", F.when(never, None).otherwise(F.col("run_start")))
-    h_new = (now.cast("double") - F.col("last_changed").cast("double")) / 3600.0
+    h_new = F.when(~never, F.col("run_age"))
     silent = F.col("h_ok").isNull() | (F.col("h_ok") > STALE_HOURS)
     frozen = (F.col("looks") >= 3) & (F.coalesce("span", F.lit(0.0)) >= FROZEN_HOURS) & (h_new.isNull() | (h_new > FROZEN_HOURS))
     return g.select(

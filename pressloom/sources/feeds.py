@@ -74,14 +74,14 @@ def parse(bodies: DataFrame, poll: str = "poll_id", body: str = "body", encoding
                     rows += [{"poll_id": i, "item": k, **r} for k, r in enumerate(raw_items(decompress(bytes(b), e)))]
                 except ElementTree.ParseError as err:
                     rows.append({"poll_id": i, "item": None, "error": str(err)})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")]).astype(object)
 
     src = bodies.filter(F.col(body).isNotNull()).select(F.col(poll).cast("string").alias("p"), F.col(body).alias("b"), (F.col(encoding) if encoding else F.lit(None).cast("string")).alias("e"))
     raw = src.mapInPandas(run, RAW).filter("error is null")
     title, name = T.strip_html(F.col("title")), F.col("source_name")
     tidy = title
     for sep in (" - ", " | ", " – "):
-        tidy = F.when(name.isNotNull() & title.endswith(F.concat(F.lit(sep), name)) & (tidy == title), F.trim(F.substring_index(title, sep, F.size(F.split(title, "\\Q" + sep + "\\E")) - 1))).otherwise(tidy)
+        tidy = F.when(name.isNotNull() & title.endswith(F.concat(F.lit(sep), name)) & (tidy == title), F.trim(title.substr(F.lit(1), F.length(title) - F.length(name) - len(sep)))).otherwise(tidy)
     out = raw.select("poll_id", "item", tidy.alias("title"), F.trim(F.coalesce("link", F.lit(""))).alias("url"), T.trim_standfirst(T.strip_html(F.col("summary"))).alias("s"),
                      T.parse_date(F.col("published")).alias("published_at"), F.when(F.trim("guid") != "", F.trim("guid")).alias("guid"), "source_url", "source_name")
     out = out.filter((F.coalesce("title", F.lit("")) != "") & (F.col("url") != ""))
