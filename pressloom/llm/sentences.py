@@ -66,23 +66,12 @@ CLOSERS = "”’»)]}」』》〉】）］"
 OPENERS = "“„«‘‚([{「『《〈【（［¿¡"
 _TAG = r"</?[a-zA-Z][^<>]*>"
 _SKIP = re.compile(rf"(?:\s|[­​-‏⁠﻿̀-ͯ]|{_TAG})*")
-_EVENT = re.compile(
-    rf"""
-    (\n[^\S\n]*\n\s*)                                                      # 1 blank line
-    |(\n(?=[^\S\n]*[-•*·▪◦‣][^\S\n]))                                      # 2 before a list line
-    |(\n(?=[^\S\n]*\d{{1,2}}[.:]\d\d(?:[ ][A-Z]{{2,5}})?[^\S\n]*(?:\n|$))) # 3 before a clock line
-    |((?<=[ก-๏])\s+(?=[ก-๏]))                                              # 4 blank between Thai words
-    |([.!?…。！？।॥؟｡︒]+)                                                   # 5 marks
-    |(?<=[Ͱ-Ͽἀ-῿]);                                                        # Greek question mark (no group)
-    |(["“”„«»])                                                            # 6 double quotes
-    |((?<!\w)['‘‚](?=\w)|['’‘](?!\w))                                      # 7 single quotes
-    |([(\[（［])                                                            # 8 bracket opens
-    |([)\]）］])                                                            # 9 bracket closes
-    |([「])|([」])                                                          # 10, 11 corner quotes
-    |([『《〈【])|([』》〉】])                                                # 12, 13 titles
-    """,
-    re.X,
-)
+#: Every character that can matter, as one set: the scan skips all others at full speed.
+_CANDIDATE = re.compile("[" + re.escape(TERMINAL + CLOSERS + OPENERS.replace("¿¡", "") + "’\"';\n") + "]")
+_BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
+_LIST_LINE = re.compile(r"\n[^\S\n]*[-•*·▪◦‣][^\S\n]")
+_CLOCK_LINE = re.compile(r"\n[^\S\n]*\d{1,2}[.:]\d\d(?:[ ][A-Z]{2,5})?[^\S\n]*(?:\n|$)")
+_THAI = re.compile(r"(?<=[ก-๏])\s+(?=[ก-๏])")
 _DATELINE = re.compile(r"(?<![^\n])[^\S\n]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'’ .\-]{2,40}(?:,[^—–\n(]{0,30})?(?:\s*\([^)\n]{1,30}\))?\s*[—–]\s")
 _CLOCK = re.compile(r"(?<![^\n])[^\S\n]*\d{1,2}[.:]\d\d(?: [A-Z]{2,5})?[^\S\n]*(?=\n)")
 _ORDINAL = re.compile(r"(?:^|[\s(„“\"])(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Dd]em|[Dd]en|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Bb]eim|[Bb]is|[Aa]b|[Ss]eit)\s+\d{1,2}$")
@@ -201,7 +190,9 @@ def _token(text: str, at: int) -> str:
     piece = text[max(0, at - 24) : at]
     if not piece or piece[-1].isspace():
         return ""
-    token = piece.split()[-1]
+    token = piece.rsplit(None, 1)[-1]
+    if token.isalpha() and token.isascii():
+        return token
     token = token[max(token.rfind(c) for c in "(\"“„«‘'’[（—–/>") + 1 :]
     if not token.isascii():
         token = unicodedata.normalize("NFC", token.replace("­", "").replace("​", ""))
@@ -316,90 +307,127 @@ def _closing(text: str, at: int, b: int, none: int, end: int, maybe: int) -> int
 _CLOSE_TAGS = re.compile(r"(?:</[a-zA-Z][^<>]*>)+")
 
 
+class _Reader:
+    """Turns one text into symbols; knows the quotes that are open in the present paragraph."""
+
+    def __init__(self, text: str):
+        self.text, self.size = text, len(text)
+        self.symbols: list[int] = []
+        self.places: list[int] = []
+        self.last = self.skip = 0
+        self.low_double = self.low_single = False
+        self.datelines = {m.start(): m.end() for m in _DATELINE.finditer(text)} if "—" in text or "–" in text else {}
+        for s, e in self.datelines.items():
+            if not text[:s].strip():
+                self.skip = self.last = e
+
+    def add(self, symbol: int, place: int) -> None:
+        self.symbols.append(symbol)
+        self.places.append(place)
+        self.last = place
+
+    def newline(self, a: int) -> None:
+        """A blank line, or a line break before a list or clock line, ends a paragraph; others are blanks."""
+        blank = _BLANK_LINE.match(self.text, a)
+        if blank:
+            b = blank.end()
+            self.skip = b
+        elif _LIST_LINE.match(self.text, a) or _CLOCK_LINE.match(self.text, a):
+            b = a + 1
+        else:
+            return
+        self.add(PARA, a)
+        self.last = b
+        self.low_double = self.low_single = False
+        if b in self.datelines:
+            self.skip = self.last = self.datelines[b]
+
+    def mark(self, a: int) -> None:
+        text, b = self.text, a + 1
+        while b < self.size and text[b] in TERMINAL:
+            b += 1
+        self.skip = b
+        if _mark(text, a, b):
+            t = _CLOSE_TAGS.match(text, b) if text.startswith("</", b) else None
+            self.add(END, t.end() if t else b)
+
+    def fresh(self, a: int) -> bool:
+        gap = self.text[self.last : a]
+        return not gap or gap.isspace()
+
+    def double(self, a: int, c: str) -> None:
+        text = self.text
+        if c == "„":
+            opening = self.low_double = True
+        elif c == "“":
+            opening, self.low_double = not self.low_double, False
+        elif c == '"':
+            before = text[a - 1] if a else " "
+            opening = before.isspace() or (before in "([—–>" and not text.startswith("</", text.rfind("<", 0, a)))
+        else:
+            opening = c in "«「"
+        self.add((OD0 if self.fresh(a) else OD1) if opening else _closing(text, a, a + 1, CDN, CDE, CDM), a + 1)
+
+    def single(self, a: int, c: str) -> None:
+        text = self.text
+        inside_word = a > 0 and (text[a - 1].isalnum() or text[a - 1] == "_")
+        word_after = a + 1 < self.size and (text[a + 1].isalnum() or text[a + 1] == "_")
+        if c != "’" and not inside_word and word_after:
+            opening = c == "‚" or not (c == "‘" and self.low_single)
+            self.low_single = c == "‚"
+        elif c != "‚" and not word_after:
+            opening = False
+        else:
+            return  # an apostrophe
+        self.add((OS0 if self.fresh(a) else OS1) if opening else _closing(text, a, a + 1, CSN, CSE, CSM), a + 1)
+
+    def bracket(self, a: int, c: str) -> None:
+        if c in "([（［":
+            self.add(BO0 if self.fresh(a) else BO1, a + 1)
+        else:
+            self.add(_closing(self.text, a, a + 1, BCN, BCE, BCE), a + 1)
+
+    def title(self, a: int, c: str) -> None:
+        self.add(TO if c in "『《〈【" else TC, a + 1)
+
+    def question(self, a: int) -> None:
+        """The Greek question mark."""
+        if a and ("Ͱ" <= self.text[a - 1] <= "Ͽ" or "ἀ" <= self.text[a - 1] <= "῿") and _mark(self.text, a, a + 1):
+            self.add(END, a + 1)
+
+
+_KIND = {c: "mark" for c in TERMINAL} | {c: "double" for c in '"“”„«»「」'} | {c: "single" for c in "'‘’‚"} | {c: "bracket" for c in "()[]（）［］"}
+_KIND |= {c: "title" for c in "『』《》〈〉【】"} | {"\n": "newline", ";": "question"}
+
+
 def read(text: str) -> tuple[list[int], list[int]]:
     """Symbols of a text and the position, end exclusive, at which each would end a sentence."""
-    symbols: list[int] = []
-    places: list[int] = []
-    last, low_quote, low_single = 0, False, False
-    skip_until = 0
-    datelines = {m.start(): m.end() for m in _DATELINE.finditer(text)} if "—" in text or "–" in text else {}
-    for s, e in datelines.items():
-        if not text[:s].strip():
-            skip_until = last = e
-    clocks = {m.end() for m in _CLOCK.finditer(text)}
-    more = sorted(clocks)
-    for m in _EVENT.finditer(text):
-        a, b = m.span()
-        if more and more[0] <= a:
-            while more and more[0] < a:
-                symbols.append(PARA)
-                places.append(more.pop(0))
-            if more and more[0] == a:
-                more.pop(0)
-                if m.lastindex is None or m.lastindex > 3:
-                    symbols.append(PARA)
-                    places.append(a)
-        if a < skip_until:
-            continue
-        g = m.lastindex
-        if g is None:
-            if _mark(text, a, b):
-                symbols.append(END)
-                places.append(b)
-                last = b
+    r = _Reader(text)
+    kind = _KIND.get
+    extra = [(m.start(), END) for m in _THAI.finditer(text)] if any("ก" <= c <= "๏" for c in set(text)) else []
+    extra = sorted(extra + [(m.end(), PARA) for m in _CLOCK.finditer(text)], reverse=True)
+    for m in _CANDIDATE.finditer(text):
+        a = m.start()
+        while extra and extra[-1][0] <= a:
+            at, symbol = extra.pop()
+            if at >= r.skip and not (symbol == PARA and at == a and text[a] == "\n" and _BLANK_LINE.match(text, a)):
+                r.add(symbol, at)
+        if a < r.skip:
             continue
-        if g <= 3:
-            symbols.append(PARA)
-            places.append(a)
-            last = b
-            low_quote = low_single = False
-            if b in datelines:
-                skip_until = last = datelines[b]
-            continue
-        if g == 4:
-            symbols.append(END)
-            places.append(a)
-            last = b
-            continue
-        if g == 5:
-            if _mark(text, a, b):
-                t = _CLOSE_TAGS.match(text, b) if text.startswith("</", b) else None
-                symbols.append(END)
-                places.append(t.end() if t else b)
-                last = places[-1]
-            continue
-        fresh = not text[last:a].strip()
         c = text[a]
-        before = text[a - 1] if a else " "
-        if g == 6 or g in (10, 11):
-            if c == "„":
-                opening, low_quote = True, True
-            elif c == "“":
-                opening = not low_quote
-                low_quote = False
-            elif c == '"':
-                opening = before.isspace() or before in "([—–>" and not text.startswith("</", text.rfind("<", 0, a))
-            else:
-                opening = c in "«「"
-            sym = (OD0 if fresh else OD1) if opening else _closing(text, a, b, CDN, CDE, CDM)
-        elif g == 7:
-            if c == "‚":
-                opening, low_single = True, True
-            elif c == "‘" and low_single:
-                opening, low_single = False, False
-            else:
-                opening = c != "’" and b < len(text) and (text[b].isalnum())
-            sym = (OS0 if fresh else OS1) if opening else _closing(text, a, b, CSN, CSE, CSM)
-        elif g == 8:
-            sym = BO0 if fresh else BO1
-        elif g == 9:
-            sym = _closing(text, a, b, BCN, BCE, BCE)
-        else:
-            sym = TO if g == 12 else TC
-        symbols.append(sym)
-        places.append(b)
-        last = b
-    return symbols, places
+        k = kind(c)
+        if k == "mark":
+            r.mark(a)
+        elif k == "newline":
+            r.newline(a)
+        elif k == "question":
+            r.question(a)
+        elif k is not None:
+            getattr(r, k)(a, c)
+    for at, symbol in reversed(extra):
+        if at >= r.skip:
+            r.add(symbol, at)
+    return r.symbols, r.places
 
 
 def split(texts: list[str]) -> list[np.ndarray]:
