@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressloom.operators.components import connected_components
+from pressloom.operators.components import connected_components, min_labels
 from pressloom.session import cut
 
 THRESHOLD = 0.80
@@ -131,52 +131,96 @@ def _assign(pivots, offsets: dict[str, int], blocks: int):  # noqa: ANN001, ANN2
 
 
 class _Links:
-    """Neighbours in one block, as a list if they are few, otherwise computed strip by strip again."""
+    """Neighbours in one block: as a list if they are few, otherwise computed strip by strip again.
+
+    In a dense block (a hot cluster) nearly all pairs are neighbours; there only whole-matrix
+    operations are used and no list of pairs is ever made. Two tiles of a block are treated as one set
+    of points; only the density told is that across the tiles, as each tile's own is told elsewhere.
+    """
 
     def __init__(self, v: np.ndarray, tile: np.ndarray | None, threshold: float):
         self.v, self.tile, self.n = v, tile, len(v)
-        self.lo, self.hi = threshold - MARGIN, threshold + MARGIN
+        self.lo, self.hi = np.float32(threshold - MARGIN), np.float32(threshold + MARGIN)
         self.few: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _strips(self) -> Iterator[tuple[int, np.ndarray]]:
         for s in range(0, self.n, STRIP):
             sims = self.v[s : s + STRIP] @ self.v.T
             sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2.0
-            if self.tile is not None:
-                sims[self.tile[s : s + STRIP, None] == self.tile[None, :]] = -2.0
             yield s, sims
 
-    def first_pass(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weight of each point's neighbours, and the pairs too near the threshold to tell."""
+    def first_pass(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Weight of each point's neighbours, in all and in the other tile, and the pairs too near the
+        threshold to tell."""
         density = np.zeros(self.n, np.float64)
+        other = np.zeros(self.n, np.float64) if self.tile is not None else density
         kept: list | None = []
         total, da, db = 0, [], []
+        light = weight.astype(np.float32)
         for s, sims in self._strips():
-            i, j = np.nonzero(sims >= self.lo)
-            value = sims[i, j]
-            i = i + s
-            unsure = value < self.hi
-            half = unsure & (i < j)
-            da.append(i[half])
+            near = sims >= self.hi
+            i, j = np.nonzero((sims >= self.lo) & ~near)
+            half = i + s < j
+            da.append(i[half] + s)
             db.append(j[half])
-            i, j, value = i[~unsure], j[~unsure], value[~unsure]
-            density += np.bincount(i, weight[j], self.n)
-            total += len(i)
+            count = int(np.count_nonzero(near))
+            total += count
+            if kept is not None and total > FEW_LINKS:
+                kept = None
             if kept is not None:
-                kept.append((i.astype(np.int32), j.astype(np.int32), value))
-                if total > FEW_LINKS:
-                    kept = None
-        if kept is not None and kept:
+                i, j = np.nonzero(near)
+                density[s : s + STRIP] = np.bincount(i, weight[j], len(sims))
+                kept.append(((i + s).astype(np.int32), j.astype(np.int32), sims[i, j]))
+            else:
+                density[s : s + STRIP] = near.astype(np.float32) @ light
+            if self.tile is not None:
+                other[s : s + STRIP] = (near & (self.tile[s : s + STRIP, None] != self.tile[None, :])).astype(np.float32) @ light
+        if kept:
             self.few = tuple(np.concatenate(x) for x in zip(*kept, strict=True))  # type: ignore[assignment]
-        return density, np.concatenate(da) if da else np.empty(0, int), np.concatenate(db) if db else np.empty(0, int)
+        return density, other, np.concatenate(da) if da else np.empty(0, int), np.concatenate(db) if db else np.empty(0, int)
 
-    def lists(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pointers(self, rank: np.ndarray) -> np.ndarray:
+        """Each point's nearest denser neighbour (of equally near ones the densest), else itself."""
+        pointer = np.arange(self.n)
         if self.few is not None:
-            yield self.few
-            return
+            i, j, value = self.few
+            up = rank[j] < rank[i]
+            i, j, value = i[up], j[up], value[up]
+            by = np.lexsort((rank[j], -value, i))
+            i, j = i[by], j[by]
+            lead = np.ones(len(i), bool)
+            lead[1:] = i[1:] != i[:-1]
+            pointer[i[lead]] = j[lead]
+            return pointer
+        order = np.argsort(rank)  # columns by density: the first greatest is the densest
         for s, sims in self._strips():
-            i, j = np.nonzero(sims >= self.hi)
-            yield i + s, j, sims[i, j]
+            sims = sims[:, order]
+            sims[(sims < self.hi) | (np.arange(self.n)[None, :] >= rank[s : s + STRIP, None])] = -2.0
+            best = sims.argmax(axis=1)
+            has = sims[np.arange(len(sims)), best] > -2.0
+            pointer[s : s + STRIP][has] = order[best[has]]
+        return pointer
+
+    def touching(self, peak: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Peaks whose points are neighbours, each with the least peak it is so chained to."""
+        a = b = np.empty(0, np.int64)
+
+        def chain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            apart = x != y
+            if not apart.any() and not len(a):
+                return a, b
+            code = np.unique(x[apart].astype(np.int64) * self.n + y[apart])
+            nodes, roots = min_labels(np.concatenate([a, code // self.n]), np.concatenate([b, code % self.n]))
+            keep = nodes != roots
+            return nodes[keep], roots[keep]
+
+        if self.few is not None:
+            i, j, _ = self.few
+            return chain(peak[i], peak[j])
+        for s, sims in self._strips():
+            i, j = np.nonzero((sims >= self.hi) & (peak[s : s + STRIP, None] != peak[None, :]))
+            a, b = chain(peak[i + s], peak[j])
+        return a, b
 
 
 def _block_links(threshold: float):  # noqa: ANN202
@@ -192,38 +236,23 @@ def _block_links(threshold: float):  # noqa: ANN202
         n = len(rep)
         cross = bool(n) and pdf["first"].iloc[0] != pdf["second"].iloc[0]
         links = _Links(unpack(pdf["q"].to_numpy(), n), pdf["tile"].to_numpy() if cross else None, threshold)
-        density, da, db = links.first_pass(weight)
+        density, told, da, db = links.first_pass(weight)
         order = np.lexsort((rep, -density))
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        pointer, best = np.arange(n), np.full(n, -2.0)
-        for i, j, value in links.lists():
-            up = rank[j] < rank[i]
-            i, j, value = i[up], j[up], value[up]
-            by = np.lexsort((rank[j], -value, i))
-            i, j, value = i[by], j[by], value[by]
-            lead = np.ones(len(i), bool)
-            lead[1:] = i[1:] != i[:-1]
-            i, j, value = i[lead], j[lead], value[lead]
-            better = value > best[i]
-            pointer[i[better]], best[i[better]] = j[better], value[better]
-        peak = pointer
+        peak = links.pointers(rank)
         while not np.array_equal(peak[peak], peak):
             peak = peak[peak]
-        touching = np.empty(0, np.int64)
-        for i, j, _ in links.lists():
-            a, b = peak[i], peak[j]
-            apart = a != b
-            touching = np.union1d(touching, np.minimum(a, b)[apart].astype(np.int64) * n + np.maximum(a, b)[apart])
+        ta, tb = links.touching(peak)
         below = np.flatnonzero(peak != np.arange(n))
-        dens = np.flatnonzero(home & (density > 0))
-        sizes = (len(below), len(touching), len(dens), len(da))
+        dens = np.flatnonzero(home & (told > 0))
+        sizes = (len(below), len(ta), len(dens), len(da))
         return pd.DataFrame(
             {
                 "kind": np.repeat(np.array([0, 0, 1, 2], np.int8), sizes),
-                "a": np.concatenate([rep[below], rep[touching // max(n, 1)], rep[dens], rep[da]]),
-                "b": np.concatenate([rep[peak[below]], rep[touching % max(n, 1)], rep[dens], rep[db]]),
-                "w": np.concatenate([np.zeros(sizes[0] + sizes[1]), density[dens], np.zeros(sizes[3])]),
+                "a": np.concatenate([rep[below], rep[ta], rep[dens], rep[da]]),
+                "b": np.concatenate([rep[peak[below]], rep[tb], rep[dens], rep[db]]),
+                "w": np.concatenate([np.zeros(sizes[0] + sizes[1]), told[dens], np.zeros(sizes[3])]),
             }
         )
 
