@@ -44,7 +44,7 @@ def whole_groups(items: DataFrame, rid: str, group: str, n: int, seed: int = 1)
     base = per.withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 256 rows
     inside = F.coalesce(F.sum("c").over(Window.partitionBy("p").orderBy("h", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = sizes.join(base.select("p", "base"), "p").withColumn("before", F.col("base") + inside).filter(F.col("before") < n)
-    return items.join(chosen.select("g"), F.col(group) == F.col("g"), "left_semi").select(F.col(rid).alias("id"), F.col(group).alias("group_id"))
+    return items.join(chosen.select(F.col("g").alias("_chosen")), F.col(group) == F.col("_chosen"), "left_semi").select(F.col(rid).alias("id"), F.col(group).alias("group_id"))
 
 
 def fixed_packs(items: DataFrame, group: str, order: list[Column], size: int = 20) -> DataFrame:
