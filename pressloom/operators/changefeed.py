@@ -48,7 +48,7 @@ def distinct_lines(lines: DataFrame, feed: Feed) -> DataFrame:
     """One row per sequence number with the feed's control columns and the whole line as ``_line``.
 
     If two different lines carry one number, the greater by (moment, keys) is kept. Lines without a
-    number cannot be ordered against equal moments; they are kept, one per key, below every number.
+    number have no place in the commit order and are left out.
     """
     marks = F.struct(feed.moment.alias("moment"), *[F.col(k) for k in feed.keys])
     packed = lines.select(

@@ -156,7 +156,7 @@ def _transitions(m: Model) -> np.ndarray:
 def decide(t: np.ndarray, n: np.ndarray, code: np.ndarray, seen: np.ndarray, bad: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spike and stuck probabilities and states of one source's answered readings, in order of time.
 
-    ``code``: contents (negative: none told), ``seen``: contents served before, ``bad``: count out of
+    ``code``: contents (negative: none told, which neither opens nor ends a stretch), ``seen``: contents served before, ``bad``: count out of
     range.
     """
     size = len(t)
@@ -164,6 +164,7 @@ def decide(t: np.ndarray, n: np.ndarray, code: np.ndarray, seen: np.ndarray, bad
     hours, days = ((t // 3600) % 24).astype(int), ((t // 86400) % 7).astype(int)
     y = np.log1p(np.clip(value, 0, None))
     zero = value == 0
+    silent = code < 0  # told no contents: neither new nor served before
     # contents served again carry the count of the poll that first served them: compare it to its time
     same = np.zeros(size, bool)
     same[1:] = (code[1:] == code[:-1]) & (code[1:] >= 0) & (value[1:] == value[:-1])
@@ -198,7 +199,7 @@ def decide(t: np.ndarray, n: np.ndarray, code: np.ndarray, seen: np.ndarray, bad
             repeat_rate = float(np.clip((normal * seen).sum() / max(normal.sum(), 1e-9), 0.01, 0.99))
             same_rate = float(np.clip((normal * equal).sum() / max(normal.sum(), 1e-9), 0.01, 0.995))
         ln = np.log
-        rep = np.where(seen, ln(repeat_rate), ln(1 - repeat_rate))
+        rep = np.where(silent, 0.0, np.where(seen, ln(repeat_rate), ln(1 - repeat_rate)))
         keep = np.where(equal, ln(same_rate), ln(1 - same_rate))
         gauss = -0.5 * z**2 - ln(scale) - 0.919
         flat = np.full(size, -ln(m.spike_range))
@@ -208,7 +209,7 @@ def decide(t: np.ndarray, n: np.ndarray, code: np.ndarray, seen: np.ndarray, bad
             [
                 rep + keep + np.where(np.isfinite(value), gauss, flat),
                 rep + keep + np.where(near & np.isfinite(value) & ~zero, -50.0, flat),
-                np.where(seen, ln(0.999), ln(0.001)) + keep + either,
+                np.where(silent, 0.0, np.where(seen, ln(0.999), ln(0.001))) + keep + either,
                 rep + np.where(equal, ln(0.999), ln(0.001)) + either,
             ]
         )
@@ -217,7 +218,7 @@ def decide(t: np.ndarray, n: np.ndarray, code: np.ndarray, seen: np.ndarray, bad
         inside = (post[:, 2] + post[:, 3]) * (~equal & ~near & np.isfinite(value))
         p_spike = np.where(zero & (np.expm1(expected) > 0.5), 1.0, post[:, 1] + inside)
 
-    opener, lasting = _stretches(t, seen)
+    opener, lasting = _stretches(t, seen | silent)
     long_contents = (lasting > m.stuck_hours) & (lasting > m.contents_ratio * (_usual(lasting, opener) + 0.5)) & (opener != np.arange(size))
     vopener, vlasting = _stretches(t, steady)
     long_value = (vlasting > m.stuck_hours) & (vlasting > m.value_ratio * (_usual(vlasting, vopener) + 0.5)) & (vopener != np.arange(size))
