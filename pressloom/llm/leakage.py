@@ -118,19 +118,13 @@ def _shard_ranks(q: Queries, stream: np.ndarray) -> list[np.ndarray]:
 def _depth_key(ranks: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions that have k tokens known to the items, and their key of that depth.
 
-    The two longest ranks that cover k tokens, overlapping where k is no power of two.
+    One rank of the greatest power of two within k, and where that is short of k the same rank once
+    more, ending at k.
     """
     level = min(k.bit_length() - 1, len(ranks) - 1)
     n = len(ranks[0])
     whole = np.flatnonzero(ranks[level] >= 0)
-    parts = [(level, 0)]
-    reach = 1 << level
-    while reach < k:
-        take = min(level, (k - reach).bit_length() - 1) if k - reach < (1 << level) and k - (1 << level) < 0 else level
-        start = max(reach - ((1 << take) - min(1 << take, k - reach)), 0)
-        start = min(start, k - (1 << take))
-        parts.append((take, start))
-        reach = start + (1 << take)
+    parts = [(level, 0)] + ([(level, k - (1 << level))] if k > 1 << level else [])
     whole = whole[whole + k <= n]
     cols = [ranks[lv][whole + s] for lv, s in parts]
     ok = np.ones(len(whole), bool)
