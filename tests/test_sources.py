@@ -56,3 +56,16 @@ def test_reports(spark, tmp_path):
     drawn = reports.svg(lay, {1: "a & b"}, {1: 1.0, 2: -2.0})
     assert drawn.count("<polygon") == 3 and "a &amp; b" in drawn
     assert len(reports.sparkline([0, 1, 2])) == 3 and reports.shade(None) == "#999999"
+
+
+def test_fetch_source(spark, tmp_path):
+    from pressloom.sources import fetch
+
+    body = tmp_path / "feed.xml"
+    body.write_text(RSS)
+    spark.dataSource.register(fetch.FeedBodies)
+    rows = spark.read.format("feed_bodies").option("urls", f"file://{body} file://{tmp_path}/none.xml").load()
+    got = {r["url"].rsplit("/", 1)[-1]: r for r in rows.collect()}
+    assert got["feed.xml"]["error"] is None and bytes(got["feed.xml"]["body"]) == RSS.encode()
+    assert got["none.xml"]["body"] is None and got["none.xml"]["error"]
+    assert feeds.parse(rows, "url", "body", "encoding").count() == 2
