@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import density, history, leakage, neardup, packing, sentences
+from pressloom.llm import density, history, leakage, neardup, packing, queries_sql, sentences
 from pressloom.session import table
 
 #: Length of each model's vectors.
@@ -91,31 +91,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Exact on whole tables: pairs of word sets through a shared word among each set's rarest ones.
-P2_SQL = """
-WITH one AS (SELECT id, min(lower(coalesce(title, '') || ' ' || coalesce(standfirst, ''))) AS text FROM article WHERE id IS NOT NULL GROUP BY id),
-sets AS (SELECT id, list_sort(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS words FROM one),
-words AS (SELECT id, len(words) AS n, unnest(words) AS w FROM sets WHERE len(words) > 0),
-df AS (SELECT w, count(*) AS df FROM words GROUP BY w),
-ranked AS (SELECT id, n, words.w, row_number() OVER (PARTITION BY id ORDER BY df, words.w) AS r FROM words JOIN df USING (w)),
-prefix AS (SELECT id, n, w FROM ranked WHERE r <= n - ceil(0.7 * n - 1e-9) + 1),
-cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.w = b.w AND a.id < b.id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9),
-sized AS (SELECT a, b, len(list_intersect(x.words, y.words)) AS common, len(x.words) + len(y.words) AS total
-          FROM cand JOIN sets x ON x.id = a JOIN sets y ON y.id = b)
-SELECT a AS article_id_a, b AS article_id_b FROM sized WHERE common >= 0.7 * (total - common) - 1e-9
-"""
-
-
-#: Chains of pairs of cosine 0.8 or more, by all pairs within a model.
-P3_SQL = """
-WITH RECURSIVE one AS (SELECT id, min(struct_pack(m := vector_model, v := vector)) AS r FROM article WHERE id IS NOT NULL AND vector IS NOT NULL AND vector_model IS NOT NULL GROUP BY id),
-good AS (SELECT id, r.m AS m, r.v::DOUBLE[] AS v FROM one WHERE len(r.v) = CASE r.m WHEN 'sentence' THEN 96 WHEN 'sentence-2' THEN 96 WHEN 'hashed' THEN 128 ELSE -1 END
-  AND len(list_filter(r.v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(r.v, lambda x: x <> 0)) > 0),
-near AS (SELECT x.id AS u, y.id AS v FROM good x JOIN good y ON x.m = y.m AND x.id <> y.id AND list_cosine_similarity(x.v, y.v) >= 0.8),
-walk(u, v) AS (SELECT id, id FROM good UNION SELECT walk.u, near.v FROM walk JOIN near ON near.u = walk.v)
-SELECT u AS article_id, min(v) AS cluster_id FROM walk GROUP BY u HAVING count(*) > 1
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL}
+    return queries_sql.oracle_sql()
