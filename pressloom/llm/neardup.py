@@ -137,15 +137,16 @@ def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD, bands: int =
     cond = F.col("left.band") == F.col("right.band")
     for t in tests:
         cond = cond & t
-    return left.alias("left").join(right.alias("right"), cond).select("a", "b").distinct()
+    return left.alias("left").join(right.hint("merge").alias("right"), cond).select("a", "b").distinct()
 
 
 def similar_classes(members: DataFrame, threshold: float = THRESHOLD, **bands: float) -> DataFrame:
     """``a, b, both, either``: pairs of representatives with Jaccard >= threshold, verified exactly."""
     reps = members.filter("id = rep").select("rep", "words")
     pairs = candidate_pairs(reps, threshold, **bands)  # type: ignore[arg-type]
-    one = pairs.join(reps.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a")
-    two = one.join(reps.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
+    # word lists compress well on disk: their file size says nothing about their size in memory
+    one = pairs.join(reps.select(F.col("rep").alias("a"), F.col("words").alias("wa")).hint("merge"), "a")
+    two = one.join(reps.select(F.col("rep").alias("b"), F.col("words").alias("wb")).hint("merge"), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     either = F.size("wa") + F.size("wb") - both
     return two.select("a", "b", both.alias("both"), either.alias("either")).filter(F.col("both") >= F.col("either") * F.lit(threshold) - 1e-9)
