@@ -39,8 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders this process has made, for :func:`clear_scratch`.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/pressloom/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/pressloom/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes all tables cut by this process; call it when no result that reads them is needed."""
+    n = len(_made)
+    while _made:
+        _delete(spark, _made.pop())
+    return n
 
 
 def cut(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -65,10 +83,9 @@ def drop_cut(df: DataFrame) -> None:
     path = getattr(df, "_pressloom_path", None)
     if path is None:
         return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(df.sparkSession, path)
+    if path in _made:
+        _made.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
