@@ -41,7 +41,9 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.repeats(table(spark, sf_dir, "article").select("id", "batch", "outlet_id", "url_canon", "guid"), "id", "batch", "outlet_id", "url_canon", "guid", list(range(7)))
+    a = table(spark, sf_dir, "article").select("id", "batch", "outlet_id", "url_canon", "guid")
+    batches = sorted({0} | {r["batch"] for r in a.select("batch").filter("batch is not null").distinct().collect()})  # a handful of numbers
+    return history.repeats(a, "id", "batch", "outlet_id", "url_canon", "guid", batches)
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
