@@ -164,12 +164,9 @@ def reduce_instance(sizes: _Sizes, capacity: int) -> list[tuple[tuple[int, ...],
         if found is None:
             a = sizes.at_most(a - 1)
             continue
+        # what is left only shrinks, so the set stays dominating while its items last
         uses = _uses(found)
         times = min(int(sizes.count[s]) // n for s, n in uses.items())
-        if found == (a,) or sum(found) == capacity:
-            pass  # stays dominating while its items last
-        else:
-            times = min(times, max(1, min(int(sizes.count[s]) // n for s, n in uses.items())))
         for s, n in uses.items():
             sizes.count[s] -= n * times
         fixed.append((found, times))
