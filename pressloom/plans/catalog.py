@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pressloom.plans import core_problems, reference, reference_sql
+from pressloom.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def in_utc(query: Query) -> Query:
-    """Runs a query with the session's time zone set to UTC, as all tables are."""
+    """Runs a query with the session's time zone set to UTC, as all tables are, and the package at hand."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return query(spark, sf_dir)
 

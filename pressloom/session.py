@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,6 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where they would not find it by themselves.
+
+    Local workers get its parent folder on their path; on a cluster a zip of the package is sent along.
+    Nothing is done if ``PYTHONPATH`` names the folder already, or twice for one context.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in (sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root in known:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    if not sc.master.startswith("local"):
+        base = os.path.join(tempfile.mkdtemp(prefix="pressloom-"), "pressloom")
+        sc.addPyFile(shutil.make_archive(base, "zip", root, "pressloom"))
+
+
 #: Folders this process has made, for :func:`clear_scratch`.
 _made: list[str] = []
 
