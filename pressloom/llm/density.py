@@ -5,7 +5,7 @@ Method: density peaks over blocked neighbour joins.
 1. Broken vectors are set aside, the rest scaled to length one; identical vectors of a model are one
    point with a weight.
 2. Each model gets pivots, a bounded sample of its own points (about ``PIVOTS`` times the square root
-   of the number of points). Every point joins the blocks of its ``BLOCKS`` nearest pivots; the
+   of the number of points), the hottest for sure and no two equal. Every point joins the blocks of its ``BLOCKS`` nearest pivots; the
    nearest is its home. Pivots follow the data, so a hot cluster has as many blocks as it deserves;
    blocks beyond ``TILE`` points are cut into tiles that meet pairwise in separate tasks.
 3. In a block matrix products, strip by strip, give all similarities. A point's local density is the
@@ -94,13 +94,18 @@ def unpack(blobs: Iterable[bytes], n: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def choose_pivots(points: DataFrame, counts: dict[str, int]) -> dict[str, np.ndarray]:
-    """Pivots of each model, at most ``SAMPLE`` for one: the points of least hash."""
+def choose_pivots(points: DataFrame, counts: dict[str, tuple[int, float]]) -> dict[str, np.ndarray]:
+    """Pivots of each model, at most ``SAMPLE`` for one; ``counts`` its points and their weight.
+
+    No two pivots are equal, else a hot point's neighbours would spread over its equal blocks. Points
+    that hold more than a pivot's share of the rows are pivots, the others those of least hash.
+    """
     out = {}
-    for model, n in counts.items():
+    for model, (n, rows) in counts.items():
         want = int(min(max(LEAST_PIVOTS, PIVOTS * np.sqrt(n)), SAMPLE))
-        rows = points.filter(F.col("model") == model).orderBy(F.xxhash64("rep"), "rep").select("q").limit(want).collect()
-        out[model] = unpack((bytes(r["q"]) for r in rows), len(rows))
+        hot = F.col("weight") * want > rows  # fewer than ``want`` points
+        found = points.filter(F.col("model") == model).orderBy(F.desc(hot), F.xxhash64("rep"), "rep").select("q").limit(want).collect()
+        out[model] = unpack((bytes(r["q"]) for r in found), len(found))
     return out
 
 
@@ -269,14 +274,15 @@ def similarity_clusters(vectors: DataFrame, rid: str, vector: str, model: str, l
     spark = vectors.sparkSession
     unit = cut(usable(vectors, rid, vector, model, lengths), "unit")
     points, members = points_of(unit)
-    counts = {r["model"]: r["n"] for r in unit.groupBy("model").agg(F.count("*").alias("n")).collect()}  # one row per model
-    pivots = choose_pivots(unit.select("model", F.col("id").alias("rep"), "q"), counts)
+    points = cut(points, "points")
+    counts = {r["model"]: (r["n"], r["w"]) for r in points.groupBy("model").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}  # one row per model
+    pivots = choose_pivots(points, counts)
     offsets, total = {}, 0
     for name, p in pivots.items():
         offsets[name], total = total, total + len(p)
     shared = spark.sparkContext.broadcast(pivots)  # bounded by SAMPLE pivots of a model
     placed = points.mapInPandas(_assign(shared, offsets, blocks), "block long, rep long, weight float, home boolean, q binary")
-    fullest = max((int(np.ceil(n * blocks / TILE)) for n in counts.values()), default=1)
+    fullest = max((int(np.ceil(n * blocks / TILE)) for n, _ in counts.values()), default=1)
     tiles = _tile(placed, fullest)
     found = cut(tiles.groupBy("block", "first", "second").applyInPandas(_block_links(threshold), "kind byte, a long, b long, w double"), "links")
     sure = found.filter("kind = 0").select("a", "b")

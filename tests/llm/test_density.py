@@ -96,3 +96,24 @@ def test_description_names_the_densest(spark):
     for r in clusters.collect():
         members.setdefault(r["cluster_id"], []).append((-r["density"], r["id"]))
     assert {r["cluster_id"]: (r["size"], r["typical"]) for r in told} == {c: (len(m), [i for _, i in sorted(m)[:2]]) for c, m in members.items()}
+
+
+def test_copies_of_one_vector_make_one_pivot_and_lose_no_link(spark, monkeypatch):
+    """A third of the rows equal, the others at 0.81-0.9 to them and below the threshold to each other."""
+    rng = np.random.default_rng(10)
+    n, d = 1800, 96
+    hot = rng.normal(size=d)
+    hot /= np.linalg.norm(hot)
+    away = rng.normal(size=(n, d))
+    away -= np.outer(away @ hot, hot)
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = rng.uniform(0.81, 0.9, (n, 1))
+    v = np.concatenate([np.tile(hot, (n // 2, 1)), c * hot + np.sqrt(1 - c**2) * away])
+    rows = [(i, x, "m", 0, "") for i, x in enumerate(v.tolist())]
+    monkeypatch.setattr(D, "PIVOTS", 14.0)  # some 600 pivots
+    chosen, choose = {}, D.choose_pivots
+    monkeypatch.setattr(D, "choose_pivots", lambda *a: chosen.update(choose(*a)) or chosen)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {(r["id"], r["cluster_id"]) for r in D.similarity_clusters(df, "id", "v", "model", {"m": d}).collect()}
+    assert len(chosen["m"]) > 500 and len(np.unique(chosen["m"], axis=0)) == len(chosen["m"])
+    assert got == {(i, 0) for i in range(len(v))}
