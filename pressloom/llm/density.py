@@ -5,14 +5,15 @@ Method: density peaks over blocked neighbour joins.
 1. Broken vectors are set aside, the rest scaled to length one; identical vectors of a model are one
    point with a weight.
 2. Each model gets pivots, a bounded sample of its own points (about ``PIVOTS`` times the square root
-   of the number of points), the hottest for sure and no two equal. Every point joins the blocks of its ``BLOCKS`` nearest pivots; the
-   nearest is its home. Pivots follow the data, so a hot cluster has as many blocks as it deserves;
-   blocks beyond ``TILE`` points are cut into tiles that meet pairwise in separate tasks.
-3. In a block matrix products, strip by strip, give all similarities. A point's local density is the
-   weight of its neighbours in its home block; its pointer goes to the nearest denser neighbour
+   of the number of points), the hottest for sure and no two equal. Every point joins the blocks of
+   its ``BLOCKS`` nearest pivots. Pivots follow the data, so a hot cluster has as many blocks as it
+   deserves; blocks beyond ``TILE`` points are cut into tiles that meet pairwise in separate tasks.
+3. In a block matrix products, strip by strip, give all similarities. A point's local density there is
+   the weight of its neighbours in the block; its pointer goes to the nearest denser neighbour
    (ties by id); points without one are local peaks. Peaks whose points touch are one group, as the
    groups asked for are chains of neighbours.
 4. Pointers and peak links are followed to labels by connected components.
+5. Where densities are asked for, all pairs of each cluster are compared (:func:`with_density`).
 
 Vectors travel as 16-bit integers; pairs within ``MARGIN`` of the threshold are decided again on the
 stored vectors. Recall of the blocks is measured against brute force in the tests.
@@ -37,23 +38,33 @@ PIVOTS = 0.75
 LEAST_PIVOTS, SAMPLE = 8, 65_536
 TILE = 16_384
 MARGIN = 2e-4
+#: Single precision errs by less; points whose clusters are counted in one task.
+EXACT, BUCKET = 1e-5, 4096
 STRIP = 1024
 #: Links of a block kept as a list.
 FEW_LINKS = 6_000_000
 SCALE = 32767.0
 
 
-def usable(vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int]) -> DataFrame:
+def usable(vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int], stored: bool = False) -> DataFrame:
     """``id, model, q``: vectors that count, scaled to length one and to 16-bit integers.
 
+    With ``stored`` also ``x``, the numbers as they are stored (see :func:`_stored_type`).
+
     A vector counts if it and its model are present, it has its model's length, all numbers are
     finite and not all zero. Repeated ids count once (the least row), null ids do not, nor do models
     without a known length.
     """
     wanted = dict(lengths)
+    kind = _stored_type(vectors, vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("model", pa.string()), ("q", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("model", pa.string()), ("q", pa.binary()), *([("x", pa.binary())] if stored else [])])
+
+        def blobs(rows: np.ndarray) -> pa.Array:
+            size = rows.shape[1] * rows.itemsize
+            return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+
         for batch in batches:
             ids, names, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2)
             names = np.array(names, dtype=object)
@@ -67,16 +78,22 @@ def usable(vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[
                 v = flat[begin[rows][:, None] + np.arange(n)[None, :]]
                 good = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
                 v, rows = v[good], rows[good]
+                x = [blobs(v.astype(kind))] if stored else []
                 v /= np.abs(v).max(axis=1, keepdims=True)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 q = np.rint(v * SCALE).astype("<i2")
-                blob = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * 2 * n).astype(np.int32)), pa.py_buffer(q.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows].astype(np.int64)), pa.array([name] * len(rows)), blob], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows].astype(np.int64)), pa.array([name] * len(rows)), blobs(q), *x], schema=schema)
 
     rows = vectors.filter(F.col(rid).isNotNull() & F.col(vector).isNotNull() & F.col(model).isNotNull())
     rows = rows.select(F.col(rid).cast("long").alias("id"), F.col(model).alias("model"), F.col(vector).alias("v"))
-    unit = rows.mapInArrow(run, "id long, model string, q binary")
-    return unit.groupBy("id").agg(F.min(F.struct("model", "q")).alias("r")).select("id", "r.model", "r.q")
+    names = ["model", "q", *(["x"] if stored else [])]
+    unit = rows.mapInArrow(run, "id long, model string, q binary" + (", x binary" if stored else ""))
+    return unit.groupBy("id").agg(F.min(F.struct(*names)).alias("r")).select("id", *[f"r.{c}" for c in names])
+
+
+def _stored_type(vectors: DataFrame, vector: str) -> str:
+    """The numpy type that holds the column's numbers without loss."""
+    return "<f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
 
 
 def points_of(unit: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,13 +138,11 @@ def _assign(pivots, offsets: dict[str, int], blocks: int):  # noqa: ANN001, ANN2
                     blobs = sub["q"].to_numpy()
                     sims = unpack(blobs, len(sub)) @ p.T
                     near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                    home = near[np.arange(len(sub)), np.take_along_axis(sims, near, 1).argmax(axis=1)]
                     yield pd.DataFrame(
                         {
                             "block": (near + offsets[model]).ravel(),
                             "rep": np.repeat(sub["rep"].to_numpy(), m),
                             "weight": np.repeat(sub["weight"].to_numpy(np.float32), m),
-                            "home": (near == home[:, None]).ravel(),
                             "q": np.repeat(blobs, m),
                         }
                     )
@@ -140,11 +155,11 @@ class _Links:
 
     In a dense block (a hot cluster) nearly all pairs are neighbours; there only whole-matrix
     operations are used and no list of pairs is ever made. Two tiles of a block are treated as one set
-    of points; only the density told is that across the tiles, as each tile's own is told elsewhere.
+    of points.
     """
 
-    def __init__(self, v: np.ndarray, tile: np.ndarray | None, threshold: float):
-        self.v, self.tile, self.n = v, tile, len(v)
+    def __init__(self, v: np.ndarray, threshold: float):
+        self.v, self.n = v, len(v)
         self.lo, self.hi = np.float32(threshold - MARGIN), np.float32(threshold + MARGIN)
         self.few: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
@@ -154,11 +169,9 @@ class _Links:
             sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2.0
             yield s, sims
 
-    def first_pass(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Weight of each point's neighbours, in all and in the other tile, and the pairs too near the
-        threshold to tell."""
+    def first_pass(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight of each point's neighbours here, and the pairs too near the threshold to tell."""
         density = np.zeros(self.n, np.float64)
-        other = np.zeros(self.n, np.float64) if self.tile is not None else density
         kept: list | None = []
         total, da, db = 0, [], []
         light = weight.astype(np.float32)
@@ -178,11 +191,9 @@ class _Links:
                 kept.append(((i + s).astype(np.int32), j.astype(np.int32), sims[i, j]))
             else:
                 density[s : s + STRIP] = near.astype(np.float32) @ light
-            if self.tile is not None:
-                other[s : s + STRIP] = (near & (self.tile[s : s + STRIP, None] != self.tile[None, :])).astype(np.float32) @ light
         if kept:
             self.few = tuple(np.concatenate(x) for x in zip(*kept, strict=True))  # type: ignore[assignment]
-        return density, other, np.concatenate(da) if da else np.empty(0, int), np.concatenate(db) if db else np.empty(0, int)
+        return density, np.concatenate(da) if da else np.empty(0, int), np.concatenate(db) if db else np.empty(0, int)
 
     def pointers(self, rank: np.ndarray) -> np.ndarray:
         """Each point's nearest denser neighbour (of equally near ones the densest), else itself."""
@@ -229,19 +240,18 @@ class _Links:
 
 
 def _block_links(threshold: float):  # noqa: ANN202
-    """All links of one block (or pair of tiles) as pointers, densities and doubtful pairs.
+    """All links of one block (or pair of tiles) as pointers and doubtful pairs.
 
-    Rows out: kind 0 link (a, b), along pointers or between peaks whose points touch; 1 density of a;
-    2 pair too near the threshold.
+    Rows out: kind 0 link (a, b), along pointers or between peaks whose points touch; 2 pair too near
+    the threshold.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
-        rep, weight, home = pdf["rep"].to_numpy(np.int64), pdf["weight"].to_numpy(np.float64), pdf["home"].to_numpy(bool)
+        rep, weight = pdf["rep"].to_numpy(np.int64), pdf["weight"].to_numpy(np.float64)
         n = len(rep)
-        cross = bool(n) and pdf["first"].iloc[0] != pdf["second"].iloc[0]
-        links = _Links(unpack(pdf["q"].to_numpy(), n), pdf["tile"].to_numpy() if cross else None, threshold)
-        density, told, da, db = links.first_pass(weight)
+        links = _Links(unpack(pdf["q"].to_numpy(), n), threshold)
+        density, da, db = links.first_pass(weight)
         order = np.lexsort((rep, -density))
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
@@ -250,26 +260,24 @@ def _block_links(threshold: float):  # noqa: ANN202
             peak = peak[peak]
         ta, tb = links.touching(peak)
         below = np.flatnonzero(peak != np.arange(n))
-        dens = np.flatnonzero(home & (told > 0))
-        sizes = (len(below), len(ta), len(dens), len(da))
+        sizes = (len(below), len(ta), len(da))
         return pd.DataFrame(
             {
-                "kind": np.repeat(np.array([0, 0, 1, 2], np.int8), sizes),
-                "a": np.concatenate([rep[below], rep[ta], rep[dens], rep[da]]),
-                "b": np.concatenate([rep[peak[below]], rep[tb], rep[dens], rep[db]]),
-                "w": np.concatenate([np.zeros(sizes[0] + sizes[1]), told[dens], np.zeros(sizes[3])]),
+                "kind": np.repeat(np.array([0, 0, 2], np.int8), sizes),
+                "a": np.concatenate([rep[below], rep[ta], rep[da]]),
+                "b": np.concatenate([rep[peak[below]], rep[tb], rep[db]]),
             }
         )
 
     return run
 
 
-def similarity_clusters(vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int], threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int], threshold: float = THRESHOLD, blocks: int = BLOCKS, densities: bool = True) -> DataFrame:
     """``id, cluster_id, density``: clusters of two or more; ``cluster_id`` the least id of a cluster.
 
     See :func:`usable` for the vectors that count. Points of different models never meet. Equal
-    vectors belong together. ``density`` counts a point's neighbours in its home block and its own
-    copies. Empty input gives no rows.
+    vectors belong together. ``density`` is of :func:`with_density`; left out if ``densities`` is false.
+    Empty input gives no rows.
     """
     spark = vectors.sparkSession
     unit = cut(usable(vectors, rid, vector, model, lengths), "unit")
@@ -281,18 +289,78 @@ def similarity_clusters(vectors: DataFrame, rid: str, vector: str, model: str, l
     for name, p in pivots.items():
         offsets[name], total = total, total + len(p)
     shared = spark.sparkContext.broadcast(pivots)  # bounded by SAMPLE pivots of a model
-    placed = points.mapInPandas(_assign(shared, offsets, blocks), "block long, rep long, weight float, home boolean, q binary")
+    placed = points.mapInPandas(_assign(shared, offsets, blocks), "block long, rep long, weight float, q binary")
     fullest = max((int(np.ceil(n * blocks / TILE)) for n, _ in counts.values()), default=1)
     tiles = _tile(placed, fullest)
-    found = cut(tiles.groupBy("block", "first", "second").applyInPandas(_block_links(threshold), "kind byte, a long, b long, w double"), "links")
+    found = cut(tiles.groupBy("block", "first", "second").applyInPandas(_block_links(threshold), "kind byte, a long, b long"), "links")
     sure = found.filter("kind = 0").select("a", "b")
     decided = _decide(vectors, rid, vector, found.filter("kind = 2").select("a", "b").distinct(), threshold)
     labels = connected_components(sure.union(decided))
-    density = found.filter("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("near"))  # a tiled home block gives parts
-    root = members.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").join(density, "rep", "left")
-    named = root.select("id", F.coalesce("root", "rep").alias("root"), (F.coalesce("near", F.lit(0.0)) + 1.0).alias("density"))
+    root = members.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    named = root.select("id", F.coalesce("root", "rep").alias("root"))
     sizes = named.groupBy("root").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).filter("n > 1")
-    return named.join(sizes, "root").select("id", "cluster_id", "density")
+    clusters = named.join(sizes, "root").select("id", "cluster_id")
+    return with_density(clusters, vectors, rid, vector, model, lengths, threshold) if densities else clusters
+
+
+def with_density(clusters: DataFrame, vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
+    """``id, cluster_id, density``: how many of a cluster's vectors are neighbours, the id's own included.
+
+    Neighbours are in one cluster, so every pair of a cluster is compared, on the stored vectors and
+    whatever the blocks were: the work is the square of a cluster's distinct vectors.
+    """
+    clusters = cut(clusters, "clusters")
+    unit = usable(vectors, rid, vector, model, lengths, stored=True).join(clusters, "id")
+    unit = cut(unit.select("id", F.col("cluster_id").alias("model"), F.col("x").alias("q")), "stored")  # a cluster has one model
+    points, members = points_of(unit)
+    points = cut(points.withColumnRenamed("model", "cluster_id"), "distinct")
+    n = points.count()
+    bucket = F.pmod(F.xxhash64("cluster_id"), F.lit(max(1, int(np.ceil(n / BUCKET))))).alias("block")
+    # one cluster may hold all points
+    tiles = _tile(points.select(bucket, "cluster_id", "rep", "weight", "q"), int(np.ceil(n / TILE)))
+    parts = tiles.groupBy("block", "first", "second").applyInPandas(_count_neighbours(threshold, _stored_type(vectors, vector)), "rep long, w double")
+    density = parts.groupBy("rep").agg(F.sum("w").alias("density"))
+    return members.join(density, "rep").join(clusters, "id").select("id", "cluster_id", "density")
+
+
+def _count_neighbours(threshold: float, kind: str):  # noqa: ANN202
+    """Weight of each point's neighbours, itself included, in its cluster's part of a pair of tiles.
+
+    Similarities within ``EXACT`` of the threshold are computed again in double precision.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cluster_id", "rep"], kind="stable")
+        cluster, tile, q = pdf["cluster_id"].to_numpy(), pdf["tile"].to_numpy(), pdf["q"].to_numpy()
+        weight, total = pdf["weight"].to_numpy(np.float64), np.zeros(len(pdf))
+        first, second = pdf["first"].iloc[0], pdf["second"].iloc[0]
+        starts = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+        for s, e in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            a = s + np.flatnonzero(tile[s:e] == first)
+            b = s + np.flatnonzero(tile[s:e] == second)
+            if not len(a) or not len(b):
+                continue
+            v = np.frombuffer(b"".join(q[s:e]), kind).reshape(e - s, -1).astype(np.float64)
+            v /= np.abs(v).max(axis=1, keepdims=True)
+            square = np.einsum("ij,ij->i", v, v)
+            light = (v / np.sqrt(square)[:, None]).astype(np.float32)
+            across = light[b - s].T
+            for k in range(0, len(a), STRIP // 2):
+                strip = a[k : k + STRIP // 2]
+                sims = light[strip - s] @ across
+                near = sims >= threshold
+                i, j = np.nonzero(np.abs(sims - np.float32(threshold)) < EXACT)
+                x, y = strip[i] - s, b[j] - s
+                near[i, j] = np.einsum("ij,ij->i", v[x], v[y]) / np.sqrt(square[x] * square[y]) >= threshold
+                if first == second:
+                    near[np.arange(len(strip)), np.arange(k, k + len(strip))] = True
+                near = near.astype(np.float64)
+                total[strip] += near @ weight[b]
+                if first != second:
+                    total[b] += weight[strip] @ near
+        return pd.DataFrame({"rep": pdf["rep"].to_numpy(np.int64), "w": total})
+
+    return run
 
 
 def _decide(vectors: DataFrame, rid: str, vector: str, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -318,7 +386,7 @@ def _tile(placed: DataFrame, fullest: int) -> DataFrame:
     cut_up = placed.join(F.broadcast(sizes), "block", "left").withColumn("t", F.coalesce("t", F.lit(1)))
     cut_up = cut_up.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("t")).cast("int"))
     pairs = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    return pairs.select("block", "rep", "weight", "home", "q", "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
+    return pairs.select(*placed.columns, "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
 
 
 def describe(clusters: DataFrame, typical: int = 3) -> DataFrame:

@@ -27,17 +27,17 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(links, "rep", "left").select(F.col("id").alias("article_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.similarity_clusters(table(spark, sf_dir, "article"), "id", "vector", "vector_model", LENGTHS)
+def _clusters(spark: SparkSession, sf_dir: str, densities: bool) -> DataFrame:
+    return density.similarity_clusters(table(spark, sf_dir, "article"), "id", "vector", "vector_model", LENGTHS, densities=densities)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).select(F.col("id").alias("article_id"), "cluster_id")
+    return _clusters(spark, sf_dir, False).select(F.col("id").alias("article_id"), "cluster_id")
 
 
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per cluster: size and its most typical articles."""
-    return density.describe(_clusters(spark, sf_dir).select("id", "cluster_id", "density"))
+    return density.describe(_clusters(spark, sf_dir, True))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,23 @@ def test_copies_of_one_vector_make_one_pivot_and_lose_no_link(spark, monkeypatch
     got = {(r["id"], r["cluster_id"]) for r in D.similarity_clusters(df, "id", "v", "model", {"m": d}).collect()}
     assert len(chosen["m"]) > 500 and len(np.unique(chosen["m"], axis=0)) == len(chosen["m"])
     assert got == {(i, 0) for i in range(len(v))}
+
+
+def test_density_counts_all_neighbours(spark, monkeypatch):
+    """Hot clusters over many pivots, copies, and pairs near the threshold, against brute force."""
+    rng = np.random.default_rng(11)
+    v = [rng.normal(size=24) + rng.normal(size=24) * 0.1 for _ in range(3)]
+    rows = [x + rng.normal(size=24) * rng.uniform(0.2, 0.6) for x in v for _ in range(250)]
+    rows += [rows[5]] * 40 + [rows[300] * 2] * 10
+    rows = [(i, [float(x) for x in r.astype(np.float32)], "m", 0, "") for i, r in enumerate(rows)]
+    monkeypatch.setattr(D, "PIVOTS", 4.0)
+    monkeypatch.setattr(D, "BUCKET", 100, raising=False)
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near, whole = (unit @ unit.T >= 0.8).sum(axis=1), brute(rows)
+    for tile in (D.TILE, 120):
+        monkeypatch.setattr(D, "TILE", tile)
+        clusters = run(spark, rows)
+        assert {r["id"]: r["density"] for r in clusters.collect()} == {i: float(near[i]) for i, _ in whole}
+        typical = {r["cluster_id"]: r["typical"] for r in D.describe(clusters).collect()}
+        assert typical == {c: sorted((i for i, x in whole if x == c), key=lambda i: (-near[i], i))[:3] for _, c in whole}
