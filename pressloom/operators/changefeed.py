@@ -2,7 +2,7 @@
 
 Method: commit-ordered transactional replay.
 
-1. Repeats of a line are the same change: lines are identified by their sequence number.
+1. Repeats of a line are the same change: lines are identified by sequence number and keys.
 2. Lines are assembled into transactions. A transaction is complete when it has as many distinct
    lines as it announces; incomplete ones are held with everything that would overtake them.
 3. The committed watermark is the highest sequence number below which no number is missing. It is
@@ -45,12 +45,11 @@ class Feed:
 
 
 def distinct_lines(lines: DataFrame, feed: Feed) -> DataFrame:
-    """One row per sequence number with the feed's control columns and the whole line as ``_line``.
+    """One row per different line: sequence number, keys and the feed's control columns.
 
-    If two different lines carry one number, the greater by (moment, keys) is kept. Lines without a
-    number have no place in the commit order and are left out.
+    Lines that share a number but not their keys are all kept; of one number and keys the greatest
+    moment counts. Lines without a number have no place in the commit order and are left out.
     """
-    marks = F.struct(feed.moment.alias("moment"), *[F.col(k) for k in feed.keys])
     packed = lines.select(
         F.col(feed.seq).alias("_seq"),
         feed.moment.alias("_moment"),
@@ -58,12 +57,12 @@ def distinct_lines(lines: DataFrame, feed: Feed) -> DataFrame:
         *([F.col(feed.txn).alias("_txn")] if feed.txn else []),
         *([F.col(feed.txn_size).alias("_size")] if feed.txn_size else []),
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(feed.keys)],
-        marks.alias("_marks"),
     )
     keys = [f"_k{i}" for i in range(len(feed.keys))]
-    rest = [c for c in packed.columns if c not in ("_seq", "_marks", *keys)]
-    numbered = packed.filter("_seq is not null").groupBy("_seq").agg(F.max(F.struct("_marks", *keys, *rest)).alias("r"))
-    return numbered.select("_seq", *[F.col(f"r.{c}").alias(c) for c in (*keys, *rest)])
+    rest = [c for c in packed.columns if c not in ("_seq", *keys)]
+    # of lines equal in number and keys the latest is the one that can hold
+    numbered = packed.filter("_seq is not null").groupBy("_seq", *keys).agg(F.max(F.struct(*rest)).alias("r"))
+    return numbered.select("_seq", *keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def committed_watermark(numbers: DataFrame, seq: str, start: int = 1, block: int = BLOCK) -> DataFrame:
@@ -93,9 +92,12 @@ def hold_incomplete(lines: DataFrame) -> DataFrame:
     """The lines of complete transactions; ``_txn`` null is a transaction of its own."""
     if "_txn" not in lines.columns:
         return lines
+    return lines.join(_incomplete(lines), "_txn", "left_anti")
+
+
+def _incomplete(lines: DataFrame) -> DataFrame:
     have = lines.filter("_txn is not null").groupBy("_txn").agg(F.count("*").alias("_have"), F.max("_size").alias("_want"))
-    short = have.filter("_have < coalesce(_want, 1)").select("_txn")
-    return lines.join(short, "_txn", "left_anti")
+    return have.filter("_have < coalesce(_want, 1)").select("_txn")
 
 
 def replay(lines: DataFrame, feed: Feed, closed: bool = True, start: int = 1) -> DataFrame:
@@ -114,8 +116,7 @@ def replay(lines: DataFrame, feed: Feed, closed: bool = True, start: int = 1) ->
     else:
         mark = committed_watermark(rows, "_seq", start)
         if "_txn" in rows.columns:
-            kept = hold_incomplete(rows)
-            held = rows.join(kept.select("_seq"), "_seq", "left_anti").agg((F.min("_seq") - 1).alias("held"))
+            held = rows.join(_incomplete(rows), "_txn", "left_semi").agg((F.min("_seq") - 1).alias("held"))
             mark = mark.crossJoin(held).select(F.least("watermark", "held").alias("watermark"))  # one row each
         rows = rows.join(F.broadcast(mark), F.col("_seq") <= F.col("watermark")).drop("watermark")
     order = F.struct(F.col("_moment").isNotNull(), "_moment", "_seq")
@@ -125,7 +126,7 @@ def replay(lines: DataFrame, feed: Feed, closed: bool = True, start: int = 1) ->
 
 def feed_status(lines: DataFrame, feed: Feed, start: int = 1) -> DataFrame:
     """One row ``watermark, top, lines, missing, held``: how far the feed is committed."""
-    rows = distinct_lines(lines, feed).select("_seq")
+    rows = distinct_lines(lines, feed).select("_seq").distinct()
     mark = committed_watermark(rows, "_seq", start)
     return (
         rows.crossJoin(F.broadcast(mark))  # a single row

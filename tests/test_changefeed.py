@@ -85,3 +85,19 @@ def test_incomplete_transactions_are_held(spark):
 def test_empty_feed(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert cf.replay(df, feed()).count() == 0
+
+
+def test_one_number_on_two_keys_loses_no_change(spark):
+    rows = [
+        (1, "a", 1, 1, None, None, "", 0),
+        (2, "b", 1, 2, None, None, "", 0),  # the same number
+        (2, "b", 1, 2, None, None, "", 0),
+        (3, None, 2, 5, None, None, "", 0),
+        (1, "a", 2, 4, None, None, "", 0),
+        (4, "a", 4, 3, None, None, "", 0),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in cf.replay(df, feed()).collect()} == brute(rows) == {(1, "a", 2), (2, "b", 1), (3, None, 2), (4, "a", 4)}
+    assert {tuple(r) for r in cf.replay(df, feed(), closed=False).collect()} == {(1, "a", 2), (2, "b", 1), (3, None, 2)}
+    status = cf.feed_status(df, feed()).first()
+    assert (status["watermark"], status["top"], status["lines"], status["missing"], status["held"]) == (2, 4, 3, 1, 1)
