@@ -11,8 +11,9 @@ Method: commit-ordered transactional replay.
 4. Keys do not conflict with each other, so they are replayed in parallel: the holding change of a
    key is one ``max_by`` over (moment, sequence number), combined map-side, so a hot key costs one
    row per task in the shuffle.
-5. Only changes at or below the watermark are exposed. Closing the feed (``closed=True``) declares
-   the numbers still missing void and releases what was held.
+5. State is exposed only through the watermark: the committed state is the replay of the changes at
+   or below it. Closing the feed (``closed=True``) declares the numbers still missing void and applies
+   what was held to the committed state.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.session import cut
+
 #: Consecutive sequence numbers counted together.
 BLOCK = 1 << 16
 
@@ -100,28 +103,39 @@ def _incomplete(lines: DataFrame) -> DataFrame:
     return have.filter("_have < coalesce(_want, 1)").select("_txn")
 
 
+def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the holding change, deletions included: ``_moment, _seq, _deleted``."""
+    order = F.struct(F.col("_moment").isNotNull(), "_moment", "_seq")
+    held = rows.groupBy(*keys).agg(F.max(F.struct(order.alias("o"), F.col("_moment").alias("m"), F.col("_seq").alias("s"), F.col("_deleted").alias("d"))).alias("h"))
+    return held.select(*keys, F.col("h.m").alias("_moment"), F.col("h.s").alias("_seq"), F.col("h.d").alias("_deleted"))
+
+
 def replay(lines: DataFrame, feed: Feed, closed: bool = True, start: int = 1) -> DataFrame:
     """The state a change feed leads to: the feed's keys and ``seq`` of the holding change.
 
     Of one key the change with the latest moment holds (a missing moment is earlier than any), the
     highest number among equal moments. A key whose holding change deletes it has no row, whether it
     was ever set or not; a later set brings it back. Repeated lines count once, order does not
-    matter. ``closed=False`` exposes only changes at or below the committed watermark and, with
-    transactions, only numbers before the first incomplete one. Empty input gives no rows.
+    matter. Empty input gives no rows.
+
+    ``closed=False`` exposes only what is committed: changes at or below the contiguous watermark
+    and, with transactions, only numbers before the first incomplete one. ``closed=True`` takes that
+    committed state and then closes the feed: numbers still missing and transactions still incomplete
+    become void, and the held lines are applied to the committed state.
     """
     keys = [f"_k{i}" for i in range(len(feed.keys))]
-    rows = distinct_lines(lines, feed)
+    # the watermark and the replay read the same lines: they are reduced once
+    rows = cut(distinct_lines(lines, feed), "feed")
+    mark = committed_watermark(rows, "_seq", start)
+    if "_txn" in rows.columns:
+        held = rows.join(_incomplete(rows), "_txn", "left_semi").agg((F.min("_seq") - 1).alias("held"))
+        mark = mark.crossJoin(held).select(F.least("watermark", "held").alias("watermark"))  # one row each
+    mark = cut(mark, "watermark")  # one number, read by both sides below
+    committed = _latest(rows.join(F.broadcast(mark), F.col("_seq") <= F.col("watermark")), keys)
     if closed:
-        rows = hold_incomplete(rows)
-    else:
-        mark = committed_watermark(rows, "_seq", start)
-        if "_txn" in rows.columns:
-            held = rows.join(_incomplete(rows), "_txn", "left_semi").agg((F.min("_seq") - 1).alias("held"))
-            mark = mark.crossJoin(held).select(F.least("watermark", "held").alias("watermark"))  # one row each
-        rows = rows.join(F.broadcast(mark), F.col("_seq") <= F.col("watermark")).drop("watermark")
-    order = F.struct(F.col("_moment").isNotNull(), "_moment", "_seq")
-    held = rows.groupBy(*keys).agg(F.max(F.struct(order.alias("o"), F.col("_seq").alias("seq"), F.col("_deleted").alias("gone"))).alias("h"))
-    return held.filter("not h.gone").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(feed.keys)], F.col("h.seq").alias(feed.seq))
+        late = hold_incomplete(rows).join(F.broadcast(mark), F.col("_seq") > F.col("watermark"))
+        committed = _latest(committed.unionByName(_latest(late, keys)), keys)
+    return committed.filter("not _deleted").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(feed.keys)], F.col("_seq").alias(feed.seq))
 
 
 def feed_status(lines: DataFrame, feed: Feed, start: int = 1) -> DataFrame:

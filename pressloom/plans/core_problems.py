@@ -45,20 +45,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores_feed() -> changefeed.Feed:
+    """The table names no transactions and a line always gives the whole score: a line is a transaction."""
     return changefeed.Feed(keys=("article_id", "issue_id"), seq="seq", moment=F.coalesce("at", "scored_at"), deleted="deleted")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The committed state at the watermark, with what was held beyond a gap applied when the feed closes."""
     state = changefeed.replay(table(spark, sf_dir, "scores"), scores_feed())
     return state.select("article_id", F.coalesce("issue_id", F.lit("")).alias("issue_id"), "seq")
 
 
+def p6_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of the feed while it is open: nothing beyond the first missing number is exposed."""
+    state = changefeed.replay(table(spark, sf_dir, "scores"), scores_feed(), closed=False)
+    return state.select("article_id", F.coalesce("issue_id", F.lit("")).alias("issue_id"), "seq")
+
+
 def p6_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.feed_status(table(spark, sf_dir, "scores"), scores_feed())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_states": p1_states, "p4_found": p4_found, "p6_found": p6_found, "p6_status": p6_status}
+    return {"p1_found": p1_found, "p1_states": p1_states, "p4_found": p4_found, "p6_found": p6_found, "p6_committed": p6_committed, "p6_status": p6_status}
 
 
 P4_SQL = r"""
@@ -88,6 +96,15 @@ SELECT article_id, coalesce(issue_id, '') AS issue_id, seq FROM (
 WHERE r = 1 AND NOT coalesce(deleted, false)
 """
 
+P6_COMMITTED_SQL = """
+WITH n AS (SELECT DISTINCT seq FROM scores WHERE seq >= 1), r AS (SELECT seq, row_number() OVER (ORDER BY seq) AS rn FROM n),
+w AS (SELECT coalesce(max(seq) FILTER (WHERE seq = rn), 0) AS top FROM r)
+SELECT article_id, coalesce(issue_id, '') AS issue_id, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY article_id, issue_id ORDER BY coalesce("at", scored_at) DESC NULLS LAST, seq DESC) AS r
+  FROM (SELECT DISTINCT article_id, issue_id, seq, "at", scored_at, deleted FROM scores, w WHERE seq <= top)) AS ranked
+WHERE r = 1 AND NOT coalesce(deleted, false)
+"""
+
 P6_STATUS_SQL = """
 WITH n AS (SELECT DISTINCT seq FROM scores), r AS (SELECT seq, row_number() OVER (ORDER BY seq) AS rn FROM n),
 w AS (SELECT coalesce(max(seq), 0) AS watermark FROM r WHERE seq = rn)
@@ -97,4 +114,4 @@ FROM n, w GROUP BY watermark
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p6_found": P6_SQL, "p6_status": P6_STATUS_SQL}
+    return {"p4_found": P4_SQL, "p6_found": P6_SQL, "p6_committed": P6_COMMITTED_SQL, "p6_status": P6_STATUS_SQL}

@@ -101,3 +101,32 @@ def test_one_number_on_two_keys_loses_no_change(spark):
     assert {tuple(r) for r in cf.replay(df, feed(), closed=False).collect()} == {(1, "a", 2), (2, "b", 1), (3, None, 2)}
     status = cf.feed_status(df, feed()).first()
     assert (status["watermark"], status["top"], status["lines"], status["missing"], status["held"]) == (2, 4, 3, 1, 1)
+
+
+def test_closing_applies_held_lines_to_the_committed_state(spark):
+    rng = random.Random(11)
+    rows = []
+    for s in range(1, 300):
+        if s not in (120, 121, 200):  # numbers that never come
+            rows.append((rng.randrange(12), rng.choice([None, "x"]), s, rng.choice([None, rng.randrange(40)]), rng.randrange(40), rng.choice([True, None]), "k", 1))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert {tuple(r) for r in cf.replay(df, feed(), closed=False).collect()} == brute([r for r in rows if r[2] < 120])
+    assert {tuple(r) for r in cf.replay(df, feed()).collect()} == brute(rows)
+
+
+def test_half_a_transaction_holds_what_follows_it(spark):
+    schema = "article_id long, issue_id string, seq long, at long, scored_at long, deleted boolean, txn string, size int"
+    rows = [(1, "a", 1, 1, None, None, "t1", 1), (2, "a", 2, 1, None, None, "t2", 2), (1, "a", 3, 5, None, True, "t3", 1)]
+    f = feed(txn="txn", txn_size="size")
+    half = spark.createDataFrame(rows, schema)
+    assert {tuple(r) for r in cf.replay(half, f, closed=False).collect()} == {(1, "a", 1)}
+    assert cf.replay(half, f).count() == 0  # the half is void, the deletion holds
+    whole = spark.createDataFrame([*rows, (3, "a", 4, 1, None, None, "t2", 2)], schema)
+    assert {tuple(r) for r in cf.replay(whole, f, closed=False).collect()} == {(2, "a", 2), (3, "a", 4)}
+
+
+def test_the_exposed_state_passes_the_watermark(spark):
+    df = spark.createDataFrame([(1, "a", 1, 1, None, None, "", 0)], SCHEMA)
+    plan = cf.replay(df, feed())._jdf.queryExecution().executedPlan().toString()
+    assert "watermark" in plan
