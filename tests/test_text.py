@@ -134,6 +134,9 @@ def test_prominence_local_day_and_json(spark):
         ("https://x.example/a?b=1", "https://x.example/a?b=2", False),
         ("https://x.example/in%2Dm47al265", "https://x.example/in-m47al265", True),
         ("https://x.example/a", "https://y.example/a", False),
+        ("https://x.example/news/budget?p=2", "https://x.example/sport/cup?p=2", False),
+        ("https://x.example/news/20260301", "https://x.example/sport/20260301", False),
+        ("https://x.example/news/a-4000123", "https://x.example/news/b-c-4000123.html", True),
     ],
 )
 def test_page_key(spark, a, b, same):
