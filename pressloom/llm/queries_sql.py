@@ -20,24 +20,36 @@ SELECT m.id AS article_id, m.rep AS class_id, coalesce(n, 0) AS n_links FROM mem
 TRACK = "'utm_source','utm_medium','utm_campaign','utm_term','utm_content','utm_id','gclid','fbclid','msclkid','mc_cid','mc_eid','cmp','cmpid','ito','at_medium','at_campaign','at_custom1','at_custom2','ns_mchannel','ns_source','ns_campaign','echobox','ref','smid','xtor','section','amp','output'"
 
 
-def page(expr: str) -> str:
+def parts(expr: str) -> str:
+    """The address in pieces: host, path, trailing number, sorted parameters."""
     t = rf"regexp_replace(regexp_replace({expr}, '^[\s\p{{Z}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cf}}]+$', '', 'g'), '#.*$', '')"
     rest = rf"regexp_replace({t}, '(?i)^[a-z][a-z0-9+.\-]*://', '')"
     host = rf"regexp_replace(regexp_replace(lower(regexp_extract({rest}, '^([^/?]*)', 1)), ':\d+$', ''), '^((www|amp|m|mobile)\.)+', '')"
     path = rf"regexp_replace(regexp_replace(url_decode(regexp_extract({rest}, '^[^/?]*([^?]*)', 1)), '/{{2,}}', '/', 'g'), '(/amp|/index\.html?|\.amp|/)+$', '')"
     query = rf"regexp_extract({rest}, '\?(.*)$', 1)"
     number = rf"regexp_extract({path}, '(?:/|-|/[a-z])(\d{{6,}})(?:\.html?)?$', 1)"
-    asked = rf"regexp_extract({query}, '(?i)(?:^|&)(?:id|article|articleid|story|storyid|p)=(\d+)', 1)"
     kept = f"array_to_string(list_sort(list_filter(list_transform(string_split({query}, '&'), lambda x: url_decode(x)), lambda kv: kv <> '' AND NOT lower(string_split(kv, '=')[1]) IN ({TRACK}))), '&')"
-    return f"CASE WHEN {t} <> '' THEN {host} || CASE WHEN {asked} <> '' THEN '#' || {asked} WHEN {number} <> '' THEN '#' || {number} ELSE {path} || '?' || {kept} END END"
+    return f"CASE WHEN {t} <> '' THEN struct_pack(host := {host}, path := {path}, number := {number}, asked := {kept}) END"
+
+
+def key(p: str, n: str) -> str:
+    """The page's key, given its pieces and the evidence on numbers of its outlet and host."""
+    date = rf"regexp_matches({p}.number, '^(19|20)\d\d(0[1-9]|1[0-2])((0[1-9]|[12]\d|3[01]))?$')"
+    by_number = f"{p}.number <> '' AND CASE WHEN coalesce({n}.numbers, 0) >= 10 THEN {n}.lone * 2 >= {n}.numbers ELSE NOT {date} END"
+    return f"CASE WHEN {p} IS NOT NULL THEN {p}.host || CASE WHEN {by_number} THEN '#' || {p}.number ELSE {p}.path || '?' || {p}.asked END END"
 
 
 G = r"lower(regexp_replace(guid, '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g'))"
 P5_SQL = rf"""
-WITH RECURSIVE one AS (SELECT id, min(batch) AS batch, min(outlet_id) AS outlet_id, min(url_canon) AS url, min(guid) AS guid FROM article WHERE id IS NOT NULL GROUP BY id),
-g0 AS (SELECT *, {G} AS g, {page('url')} AS pk FROM one),
-g1 AS (SELECT *, CASE WHEN g IS NULL OR regexp_matches(g, '^(|0+|-+|n\.?/?a\.?|none|null|nil|undefined|unknown|guid|id)$') OR regexp_matches(regexp_replace(g, '[?#].*$', ''), '^https?://[^/]*(/|/feed/?|/rss/?|/atom/?|/(feed|rss|atom|index)\.xml)?$') THEN NULL
-  WHEN starts_with(g, 'http://') OR starts_with(g, 'https://') THEN 'url:' || {page('g')} ELSE regexp_replace(regexp_replace(g, '^urn:(uuid:)?', ''), '^\{{|\}}$', '', 'g') END AS ek FROM g0),
+WITH RECURSIVE one AS (SELECT id, coalesce(min(batch), 0) AS batch, min(outlet_id) AS outlet_id, min(url_canon) AS url, min(guid) AS guid FROM article WHERE id IS NOT NULL GROUP BY id),
+g0 AS (SELECT *, {G} AS g, {parts('url')} AS p FROM one),
+g2 AS (SELECT *, CASE WHEN regexp_matches(g, '^https?://') AND NOT regexp_matches(regexp_replace(g, '[?#].*$', ''), '^https?://[^/]*(/|/feed/?|/rss/?|/atom/?|/(feed|rss|atom|index)\.xml)?$') THEN {parts('g')} END AS gp,
+  CASE WHEN NOT (regexp_matches(g, '^(|0+|-+|n\.?/?a\.?|none|null|nil|undefined|unknown|guid|id)$') OR regexp_matches(g, '^https?://'))
+  THEN regexp_replace(regexp_replace(g, '^urn:(uuid:)?', ''), '^\{{|\}}$', '', 'g') END AS name FROM g0),
+stood AS (SELECT outlet_id, p.host AS host, p.number AS number, min(p.path) AS a, max(p.path) AS z FROM g2 WHERE batch = 0 AND p.number <> '' GROUP BY ALL),
+evidence AS (SELECT outlet_id, host, count(*) AS numbers, count(*) FILTER (WHERE a = z) AS lone FROM stood GROUP BY ALL),
+g1 AS (SELECT id, batch, g2.outlet_id, {key('p', 'n')} AS pk, coalesce('url:' || {key('gp', 'm')}, name) AS ek FROM g2
+  LEFT JOIN evidence n ON n.outlet_id IS NOT DISTINCT FROM g2.outlet_id AND n.host = p.host LEFT JOIN evidence m ON m.outlet_id IS NOT DISTINCT FROM g2.outlet_id AND m.host = gp.host),
 busy AS (SELECT outlet_id, ek FROM g1 WHERE ek IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT pk) > 5),
 keys AS (SELECT id, outlet_id, 'p' || pk AS k FROM g1 WHERE pk IS NOT NULL UNION ALL SELECT id, outlet_id, 'e' || ek FROM g1 WHERE ek IS NOT NULL AND (outlet_id, ek) NOT IN (SELECT (outlet_id, ek) FROM busy)),
 star AS (SELECT id, min(id) OVER (PARTITION BY outlet_id, k) AS hub FROM keys),
