@@ -1,17 +1,29 @@
 """Implausible readings of a measured series, relative to each source (problem 1).
 
-Method: a hidden Markov model per source with the states normal, spike, stuck contents, stuck value
-and out of range. Forward-backward probabilities assign spikes and stuck stretches; hard bounds give
-the out-of-range state.
-
-What goes in is prepared with built-in functions: repeats of a row are merged, hard bounds applied,
-and each answered reading is told whether the source served its contents before (an aggregate per
-source and fingerprint). The model itself runs in ``applyInPandas`` over (source, span of time). A
-source gets one span unless it is dense or long; spans overlap by ``HALO_DAYS`` on either side, so a
-hot source is split over tasks and each reading is decided once, with its surroundings at hand.
-
-The level of a source is a running median of log counts after an hour-of-day and a day-of-week
-profile are taken off, so rhythm and lasting changes of level are normal.
+Method: a hidden Markov model per source with five states (normal, spike, stuck contents, stuck value,
+out of range). Forward-backward probabilities assign the states; a reading is flagged where normal is
+the less likely explanation. Hard bounds give the out-of-range emission, and take readings whose time is
+impossible out of the series.
+
+What a reading emits:
+
+* its count, in spreads of the source about level and rhythm. Normal: a normal density. Spike: even over
+  all counts that lie off. Stuck: either, as the count of a stuck source tells nothing;
+* how long the contents served before, or the one value, have lasted where it stands. How much longer a
+  stretch lasts than the source's usual ones (their 90 % quantile) speaks for a stuck state by a power
+  law; no stretch of 24 hours or less, and no reading that opens one, is stuck;
+* whether its count is beyond the bounds.
+
+Parameters belong to the source, never to a part of it, and do not depend on how many readings there are:
+
+1. A source's readings are cut into spans of ``SPAN_DAYS`` calendar days, so a hot source is spread over
+   tasks. Spans see ``HALO_DAYS`` of their surroundings on either side, more than the level looks at.
+2. Each span reports counts of residuals per hour of the week, counts of stretches per length, and its edges.
+3. Summed reports (a map-side aggregate; bounded per source) give the rhythm, the spread and the usual
+   stretches of the source, and tell each span where a stretch it holds in part began and ends.
+4. Each span runs the model on its readings. Steps are composed in blocks as matrices, all blocks at once.
+
+The level is a running median of log counts, so lasting changes of level are normal.
 """
 
 from __future__ import annotations
@@ -23,11 +35,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HALO_DAYS = 14
-#: Readings a span should hold, and its least and greatest length in days.
-SPAN_ROWS, SPAN_MIN_DAYS, SPAN_MAX_DAYS = 20_000, 28, 120
+from pressloom.session import cut
+
+SPAN_DAYS, HALO_DAYS = 56, 21
+#: The level looks at readings no further away than this; a longer silence ends any stretch.
+REACH_DAYS = 10
 STATES = ("normal", "spike", "stuck_contents", "stuck_value", "out_of_range")
 SCHEMA = "_id long, _p_spike double, _p_stuck double, _state string"
+REPORT = "_key string, kind string, slot long, bin long, n long, v array<double>"
+FITTED = "_key string, _span long, rhythm array<double>, spread double, usual array<double>, edges array<double>"
+DAY = 86_400.0
 
 
 @dataclass(frozen=True)
@@ -35,18 +52,20 @@ class Bounds:
     """Hard bounds: readings of no source can lie beyond them."""
 
     starts: str = "2026-03-01"
-    #: Later than this many days after nearly all readings (quantile ``late_q``) is impossible.
+    #: The collection ends before the first gap of more than so many days in which no source was read.
     late_days: int = 365
-    late_q: float = 0.98
-    max_items: int = 65_534
+    #: A feed document of 8 MB, the most that is fetched, has no room for more items.
+    max_items: int = 50_000
 
 
 @dataclass(frozen=True)
 class Model:
     stuck_hours: float = 24.0
-    #: A stretch must last so many times the 90 % quantile of the source's own stretches.
+    #: Stretches so many times as long as the source's usual ones (and half an hour) are as likely stuck as not.
     contents_ratio: float = 3.0
     value_ratio: float = 4.0
+    #: Exponent of the power law by which longer stretches speak for a stuck source.
+    tail: float = 20.0
     #: Half width, in readings, of the running median.
     half_window: int = 12
     #: Least spread, in logs; and in readings, at the source's level.
@@ -54,36 +73,92 @@ class Model:
     least_count: float = 0.6
     enter_spike: float = 0.005
     stay_spike: float = 0.15
-    enter_stuck: float = 0.0008
-    leave_stuck: float = 0.01
+    enter_stuck: float = 0.02
+    leave_stuck: float = 0.1
+    enter_range: float = 0.001
     spike_range: float = 8.0
     least_z: float = 3.5
-    rounds: int = 2
+    #: A short run of other counts, at least this far off in logs, does not end a stretch of one value.
+    aside: float = 0.35
+    aside_readings: int = 3
+
 
+def running_median(x: np.ndarray, t: np.ndarray, half: int, reach: float) -> np.ndarray:
+    """Median of the 2*half+1 readings about each one, none further away than ``reach``; NaN is skipped.
 
-def running_median(x: np.ndarray, half: int) -> np.ndarray:
-    """Median of each window of 2*half+1, mirrored at the ends; NaN is skipped."""
+    The series is mirrored at its ends.
+    """
     n = len(x)
     half = min(half, max(n - 1, 0))
     if half == 0:
-        return x.copy()
-    padded = np.concatenate([x[1 : half + 1][::-1], x, x[-half - 1 : -1][::-1]])
+        return x.astype(float)
+
+    def padded(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.concatenate([left, a, right])
+
+    px = padded(x, x[1 : half + 1][::-1], x[-half - 1 : -1][::-1])
+    pt = padded(t, 2 * t[0] - t[1 : half + 1][::-1], 2 * t[-1] - t[-half - 1 : -1][::-1])
     out = np.empty(n)
+    wide = np.lib.stride_tricks.sliding_window_view
     for s in range(0, n, 8192):
-        view = np.lib.stride_tricks.sliding_window_view(padded[s : min(n, s + 8192) + 2 * half], 2 * half + 1)
-        with np.errstate(all="ignore"):
-            out[s : s + 8192] = np.nanmedian(view, axis=1)
+        e = min(n, s + 8192)
+        v, at = wide(px[s : e + 2 * half], 2 * half + 1), wide(pt[s : e + 2 * half], 2 * half + 1)
+        v = np.sort(np.where(np.abs(at - t[s:e, None]) <= reach, v, np.nan), axis=1)  # NaN come last
+        known = np.isfinite(v).sum(axis=1)
+        row = np.arange(e - s)
+        mid = 0.5 * (v[row, np.maximum(known - 1, 0) // 2] + v[row, np.minimum(known // 2, 2 * half)])
+        out[s:e] = np.where(known > 0, mid, np.nan)
     return out
 
 
-def _profile(r: np.ndarray, slot: np.ndarray, slots: int, least: int = 5) -> np.ndarray:
-    out = np.zeros(slots)
-    for k in range(slots):
-        v = r[slot == k]
-        v = v[np.isfinite(v)]
-        if len(v) >= least:
-            out[k] = np.median(v)
-    return out - np.median(out)
+def forward_backward(log_e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Posterior of each state at each step; rows of ``log_e`` are steps.
+
+    Steps are laid out in about sqrt(n) blocks. Every block's product of step matrices is built for all
+    blocks at once, the blocks are chained, and then all blocks are stepped through from their own start.
+    """
+    n, k = log_e.shape
+    e = np.exp(log_e - log_e.max(axis=1, keepdims=True))
+    size = max(int(np.sqrt(n)), 1)
+    blocks = -(-n // size)
+    e = np.concatenate([e, np.ones((blocks * size - n, k))]).reshape(blocks, size, k)
+    unit = lambda a: a / a.sum(axis=-1, keepdims=True)
+
+    def scale(m: np.ndarray) -> np.ndarray:
+        return m / m.max(axis=(1, 2), keepdims=True)
+
+    # forward: a row vector times trans times the step's emissions; the first step starts from ``start``
+    e[0, 0] *= start / (np.full(k, 1.0 / k) @ trans)
+    whole = np.tile(np.eye(k), (blocks, 1, 1))
+    for i in range(size):
+        whole = scale((whole @ trans) * e[:, None, i])
+    first = np.empty((blocks, k))
+    cur = np.full(k, 1.0 / k)
+    for b in range(blocks):
+        first[b] = cur
+        cur = cur @ whole[b]
+        cur = cur / np.abs(cur).sum()
+    f = np.empty((blocks, size, k))
+    cur = first
+    for i in range(size):
+        cur = unit((cur @ trans) * e[:, i])
+        f[:, i] = cur
+    # backward: trans times (emissions times what follows)
+    whole = np.tile(np.eye(k), (blocks, 1, 1))
+    for i in range(size - 1, -1, -1):
+        whole = scale((trans * e[:, i, None]) @ whole)
+    last = np.empty((blocks, k))
+    cur = np.ones(k)
+    for b in range(blocks - 1, -1, -1):
+        last[b] = cur
+        cur = whole[b] @ cur
+        cur = cur / cur.sum()
+    back = np.empty((blocks, size, k))
+    cur = last
+    for i in range(size - 1, -1, -1):
+        back[:, i] = cur
+        cur = unit((cur * e[:, i]) @ trans.T)
+    return unit((f * back).reshape(-1, k)[:n])
 
 
 def _first_true(change: np.ndarray) -> np.ndarray:
@@ -91,163 +166,280 @@ def _first_true(change: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
 
 
-def expected_log(y: np.ndarray, hours: np.ndarray, days: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Level times rhythm, in logs, for each reading (y may hold NaN): about it, and of its nearer side."""
-    hour, dow = np.zeros(24), np.zeros(7)
-    level = running_median(y, half)
-    for _ in range(3):
-        hour = _profile(y - level - dow[days], hours, 24)
-        dow = _profile(y - level - hour[hours], days, 7, least=12)
-        level = running_median(y - hour[hours] - dow[days], half)
-    rhythm = hour[hours] + dow[days]
-    # at a lasting change of level one side of a reading fits and the other does not: take the nearer
-    side = max(half // 2, 1)
-    near = running_median(y - rhythm, side)
-    at = np.arange(len(y))
-    sides = np.stack([level, near[np.maximum(at - side, 0)], near[np.minimum(at + side, len(y) - 1)]])
-    gap = np.where(np.isfinite(sides), np.abs(y - rhythm - sides), np.inf)
-    return level + rhythm, sides[np.where(np.isfinite(y), gap.argmin(axis=0), 0), at] + rhythm
+def one_value(value: np.ndarray, m: Model) -> np.ndarray:
+    """True where a reading goes on a run of one value; short runs far aside and unknown counts do not end it."""
+    size = len(value)
+    on = np.zeros(size, bool)
+    at = np.flatnonzero(np.isfinite(value))
+    if len(at) == 0:
+        return on
+    for _ in range(2):
+        v = value[at]
+        new = np.concatenate([[True], v[1:] != v[:-1]])
+        run = np.cumsum(new) - 1
+        begins = np.flatnonzero(new)
+        length = np.diff(np.append(begins, len(v)))
+        held = v[begins]
+        between = np.zeros(len(held), bool)
+        far = np.abs(np.log1p(np.maximum(held[1:-1], 0)) - np.log1p(np.maximum(held[:-2], 0))) >= m.aside
+        between[1:-1] = (held[:-2] == held[2:]) & (length[1:-1] <= m.aside_readings) & far
+        keep = ~between[run]
+        if keep.all():
+            break
+        at = at[keep]
+    inside = np.zeros(size, bool)
+    inside[at] = True
+    v = value[at]
+    on[at] = np.concatenate([[False], v[1:] == v[:-1]])
+    # what was left aside goes on with the run about it
+    last = np.maximum.accumulate(np.where(inside, np.arange(size), -1))
+    nxt = np.minimum.accumulate(np.where(inside, np.arange(size), size)[::-1])[::-1]
+    within = ~inside & (last >= 0) & (nxt < size)
+    on[within] = on[nxt[within]]
+    return on
+
+
+@dataclass
+class Series:
+    """One span's readings, its surroundings included, in order of time."""
+
+    t: np.ndarray
+    value: np.ndarray
+    code: np.ndarray
+    own: np.ndarray
+    bad: np.ndarray
+    again: np.ndarray  # goes on a stretch of contents served before
+    steady: np.ndarray  # goes on a stretch of one value
+    m: Model
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame, m: Model) -> Series:
+        t, bad = pdf["_t"].to_numpy(np.float64), pdf["_bad"].to_numpy(bool)
+        value = np.where(bad, np.nan, pdf["_n"].to_numpy(np.float64))
+        code, _ = pd.factorize(pdf["_hash"])
+        soon = np.concatenate([[False], np.diff(t) <= REACH_DAYS * DAY])
+        silent = code < 0  # told no contents: neither opens nor ends a stretch
+        return cls(t, value, code, pdf["_own"].to_numpy(bool), bad, (pdf["_seen"].to_numpy(bool) | silent) & soon, one_value(value, m) & soon, m)
+
+    @property
+    def y(self) -> np.ndarray:
+        return np.where(self.value > 0, np.log1p(np.clip(self.value, 0, None)), np.nan)
+
+    @property
+    def slot(self) -> np.ndarray:
+        return ((self.t // 3600) % 24 * 7 + (self.t // DAY) % 7).astype(int)
+
+    @property
+    def same(self) -> np.ndarray:
+        """Contents and count of the poll before."""
+        out = np.zeros(len(self.t), bool)
+        out[1:] = (self.code[1:] == self.code[:-1]) & (self.code[1:] >= 0) & (self.value[1:] == self.value[:-1])
+        return out
+
+    def level(self, x: np.ndarray, half: int) -> np.ndarray:
+        return running_median(x, self.t, half, REACH_DAYS * DAY)
+
+
+def report(key: str, span: int, s: Series) -> pd.DataFrame:
+    """A span's part of its source's statistics (``REPORT``): residuals, stretches that lie within, edges."""
+    rows: list[tuple] = []
+    y = s.y
+    r = np.round((y - s.level(y, s.m.half_window)) * 100)
+    use = s.own & np.isfinite(r) & ~s.same
+    both, n = np.unique(np.stack([s.slot[use], r[use].astype(int)]), axis=1, return_counts=True)
+    rows += [(key, "r", int(a), int(b), int(c), None) for (a, b), c in zip(both.T, n, strict=True)]
+    own = np.flatnonzero(s.own)
+    if len(own):
+        t = s.t[own]
+        edge = [t[0], t[-1]]
+        for kind, on in (("c", s.again[own]), ("v", s.steady[own])):
+            begins = np.flatnonzero(~on)
+            ends = np.append(begins[1:], len(t)) - 1
+            # the stretches before the first opener and after the last belong to the edges
+            hours = (t[ends[:-1]] - t[begins[:-1]]) / 3600.0
+            bins, n = np.unique((hours * 4).astype(int), return_counts=True)
+            rows += [(key, kind, 0, int(b), int(c), None) for b, c in zip(bins, n, strict=True)]
+            if len(begins):
+                edge += [t[begins[0] - 1] if begins[0] else np.nan, t[begins[-1]]]
+            else:
+                edge += [t[-1], np.nan]
+        rows.append((key, "e", int(span), 0, 1, [float(x) for x in edge]))
+    return pd.DataFrame(rows, columns=["_key", "kind", "slot", "bin", "n", "v"]).astype({"_key": object, "kind": object, "slot": np.int64, "bin": np.int64, "n": np.int64})
+
+
+def _quantile(bins: np.ndarray, n: np.ndarray, q: float) -> float:
+    """The q-quantile (lower) of counted bins."""
+    if n.sum() == 0:
+        return np.nan
+    order = np.argsort(bins, kind="stable")
+    c = np.cumsum(n[order])
+    return float(bins[order][np.searchsorted(c, q * c[-1], side="left")])
+
+
+def _grouped_medians(group: np.ndarray, r: np.ndarray, n: np.ndarray, groups: int, least: int) -> np.ndarray:
+    out = np.zeros(groups)
+    for g in range(groups):
+        k = group == g
+        if n[k].sum() >= least:
+            out[g] = _quantile(r[k], n[k], 0.5)
+    return out - np.median(out)
 
 
-def forward_backward(log_e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Posterior of each state at each step; rows of ``log_e`` are steps."""
-    e = np.exp(log_e - log_e.max(axis=1, keepdims=True))
-    n, k = e.shape
-    f, b = np.empty((n, k)), np.empty((n, k))
-    cur = start * e[0]
-    f[0] = cur / cur.sum()
-    for i in range(1, n):
-        cur = (f[i - 1] @ trans) * e[i]
-        f[i] = cur / cur.sum()
-    b[-1] = 1.0
-    back = trans.T
-    for i in range(n - 2, -1, -1):
-        cur = (e[i + 1] * b[i + 1]) @ back
-        b[i] = cur / cur.sum()
-    p = f * b
-    return p / p.sum(axis=1, keepdims=True)
-
-
-def _stretches(t: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Opener's index of each reading's stretch, and each stretch's hours on its readings."""
-    opener = _first_true(~goes_on)
-    last = np.zeros(len(t))
-    np.maximum.at(last, opener, t)
-    return opener, (last[opener] - t[opener]) / 3600.0
-
-
-def _usual(hours: np.ndarray, opener: np.ndarray) -> float:
-    per = hours[np.unique(opener)]
-    return float(np.quantile(per, 0.9)) if len(per) else 0.0
-
-
-def _transitions(m: Model) -> np.ndarray:
-    es, ek = m.enter_spike, m.enter_stuck
-    return np.array(
+def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A source's parameters, and what each of its spans must know of the others (``FITTED``)."""
+    key = pdf["_key"].iloc[0]
+    part = {k: pdf[pdf["kind"] == k] for k in "rcve"}
+    res = part["r"]
+    slot, r, n = res["slot"].to_numpy(int), res["bin"].to_numpy(float) / 100, res["n"].to_numpy(float)
+    hour, dow = np.zeros(24), np.zeros(7)
+    for _ in range(3):
+        hour = _grouped_medians(slot // 7, r - dow[slot % 7], n, 24, 5)
+        dow = _grouped_medians(slot % 7, r - hour[slot // 7], n, 7, 12)
+    rhythm = (hour[:, None] + dow[None, :]).ravel()
+    rest = r - rhythm[slot]
+    spread = 1.4826 * _quantile(np.abs(rest - _quantile(rest, n, 0.5)), n, 0.5) if n.sum() >= 8 else 0.25
+    spans = part["e"].sort_values("slot")
+    v = np.array(spans["v"].tolist(), float).reshape(-1, 6)
+    usual, edges = [], np.full((len(v), 4), np.nan)
+    for j, kind in enumerate("cv"):
+        head, tail = v[:, 2 + 2 * j], v[:, 3 + 2 * j]
+        # what comes in from the spans before: the opener of a stretch still open there
+        began = np.nan
+        hours = []
+        for i in range(len(v)):
+            if np.isnan(head[i]):
+                began = np.nan  # the span opens with a stretch of its own
+            edges[i, 2 * j] = began if not np.isnan(head[i]) else np.nan
+            began = tail[i] if not np.isnan(tail[i]) else began
+        # where the stretch ends that is open at a span's end
+        for i in range(len(v) - 1, -1, -1):
+            end, k = v[i, 1], i + 1
+            if k < len(v) and not np.isnan(head[k]):
+                end = edges[k, 2 * j + 1] if np.isnan(tail[k]) else head[k]
+            edges[i, 2 * j + 1] = end
+            if not np.isnan(tail[i]):
+                hours.append((end - tail[i]) / 3600.0)
+        h = part[kind]
+        bins = np.concatenate([h["bin"].to_numpy(float) / 4, np.floor(np.array(hours) * 4) / 4])
+        q = _quantile(bins, np.concatenate([h["n"].to_numpy(float), np.ones(len(hours))]), 0.9)
+        usual.append(0.0 if np.isnan(q) else q)
+    return pd.DataFrame(
+        {"_key": key, "_span": spans["slot"].to_numpy(np.int64), "rhythm": [rhythm.tolist()] * len(v), "spread": spread, "usual": [usual] * len(v), "edges": edges.tolist()}
+    ).astype({"_key": object})
+
+
+def transitions(m: Model) -> np.ndarray:
+    es, ek, er, lk = m.enter_spike, m.enter_stuck, m.enter_range, m.leave_stuck
+    out = np.array(
         [
-            [1 - es - 2 * ek, es, ek, ek],
-            [1 - m.stay_spike - 2 * ek, m.stay_spike, ek, ek],
-            [m.leave_stuck, es * m.leave_stuck, 1 - m.leave_stuck * (1 + es), 0.0],
-            [m.leave_stuck, es * m.leave_stuck, 0.0, 1 - m.leave_stuck * (1 + es)],
+            [0.0, es, ek, ek, er],
+            [0.0, m.stay_spike, ek, ek, er],
+            [0.0, es, 1 - lk - es - er - ek, ek, er],
+            [0.0, es, ek, 1 - lk - es - er - ek, er],
+            [0.0, es, ek, ek, er],
         ]
     )
+    out[:, 0] = 1 - out.sum(axis=1)
+    return out
 
 
-def decide(t: np.ndarray, n: np.ndarray, code: np.ndarray, seen: np.ndarray, bad: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spike and stuck probabilities and states of one source's answered readings, in order of time.
-
-    ``code``: contents (negative: none told, which neither opens nor ends a stretch), ``seen``: contents served before, ``bad``: count out of
-    range.
-    """
-    size = len(t)
-    value = np.where(bad, np.nan, n)
-    hours, days = ((t // 3600) % 24).astype(int), ((t // 86400) % 7).astype(int)
-    y = np.log1p(np.clip(value, 0, None))
-    zero = value == 0
-    silent = code < 0  # told no contents: neither new nor served before
-    # contents served again carry the count of the poll that first served them: compare it to its time
-    same = np.zeros(size, bool)
-    same[1:] = (code[1:] == code[:-1]) & (code[1:] >= 0) & (value[1:] == value[:-1])
+def _lasting(t: np.ndarray, on: np.ndarray, own: np.ndarray, began: float, ends: float) -> np.ndarray:
+    """Hours of the stretch each reading goes on; 0 for readings that open one."""
+    at = np.flatnonzero(own)
+    out = np.zeros(len(t))
+    if len(at) == 0:
+        return out
+    o, time = on[at], t[at]
+    begins = np.flatnonzero(~o)
+    which = np.cumsum(~o) - 1  # -1: the stretch that came in
+    start = np.where(which >= 0, time[begins[np.maximum(which, 0)]] if len(begins) else np.nan, began)
+    end_of = np.append(time[begins[1:] - 1], ends)
+    end = np.where(which >= 0, end_of[np.maximum(which, 0)], time[begins[0] - 1] if len(begins) and begins[0] else ends)
+    out[at] = np.where(o, (end - start) / 3600.0, 0.0)
+    return np.nan_to_num(out)
+
+
+def _stuck(lasting: np.ndarray, on: np.ndarray, usual: float, ratio: float, m: Model) -> np.ndarray:
+    """How far a stretch's length speaks for a stuck source, as a log ratio."""
+    long = on & (lasting > m.stuck_hours)
+    turn = max(m.stuck_hours, ratio * (usual + 0.5))
+    with np.errstate(divide="ignore"):
+        told = m.tail * np.log(np.maximum(lasting, 1e-9) / turn)
+    return np.where(long, np.clip(told, -40.0, 40.0), -60.0)
+
+
+def posteriors(s: Series, rhythm: np.ndarray, spread: float, usual: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Probability of each state of :data:`STATES` for each reading."""
+    m, y, size = s.m, s.y, len(s.t)
+    beat = rhythm[s.slot]
+    level = s.level(y - beat, m.half_window)
+    # at a lasting change of level one side of a reading fits and the other does not: take the nearer
+    side = max(m.half_window // 2, 1)
+    near = s.level(y - beat, side)
+    at = np.arange(size)
+    sides = np.stack([level, near[np.maximum(at - side, 0)], near[np.minimum(at + side, size - 1)]])
+    gap = np.where(np.isfinite(sides), np.abs(y - beat - sides), np.inf)
     fallback = np.nanmedian(y) if np.isfinite(y).any() else 0.0
-    about, expected = (np.where(np.isfinite(x), x, fallback) for x in expected_log(np.where(zero, np.nan, y), hours, days, m.half_window))
-    around = y - about
-    resid = y - expected
+    expected = sides[np.where(np.isfinite(y), gap.argmin(axis=0), 0), at] + beat
+    expected = np.where(np.isfinite(expected), expected, fallback)
+    off = np.where(np.isfinite(y), y - expected, 0.0)
+    # contents served again carry the count of the poll that first served them: compare it to its time
+    same = s.same
     anchor = _first_true(~same)
+    recent = same & (s.t - s.t[anchor] <= REACH_DAYS * DAY)
     lagged = y - expected[anchor]
-    resid = np.where(same & (np.abs(lagged) < np.abs(resid)), lagged, resid)
-    core = around[np.isfinite(around) & ~same & ~zero]
-    spread = 1.4826 * np.median(np.abs(core - np.median(core))) if len(core) >= 8 else 0.25
-    floor = np.maximum(m.least_spread, m.least_count / np.maximum(np.expm1(expected) + 1.0, 1.0))
-    scale = np.maximum(spread, floor)
-    z = np.where(np.isfinite(resid), resid / scale, 0.0)
-
-    p_spike = np.zeros(size)
-    post = None
-    repeat_rate, same_rate = float(np.clip(seen.mean(), 0.01, 0.99)), 0.5
-    steady = np.zeros(size, bool)
-    for _ in range(m.rounds):
-        # a spike inside a stretch of one value does not end the stretch
-        plain = np.isfinite(value) & (p_spike < 0.5)
-        before = np.maximum.accumulate(np.where(plain, np.arange(size), -1))
-        before = np.concatenate([[-1], before[:-1]])
-        equal = (before >= 0) & (value == value[before])
-        steady = equal | (~plain & (before >= 0))
-        if post is None:
-            same_rate = float(np.clip(equal.mean(), 0.01, 0.995))
-        else:
-            normal = post[:, 0]
-            repeat_rate = float(np.clip((normal * seen).sum() / max(normal.sum(), 1e-9), 0.01, 0.99))
-            same_rate = float(np.clip((normal * equal).sum() / max(normal.sum(), 1e-9), 0.01, 0.995))
-        ln = np.log
-        rep = np.where(silent, 0.0, np.where(seen, ln(repeat_rate), ln(1 - repeat_rate)))
-        keep = np.where(equal, ln(same_rate), ln(1 - same_rate))
-        gauss = -0.5 * z**2 - ln(scale) - 0.919
-        flat = np.full(size, -ln(m.spike_range))
-        near = np.abs(z) < m.least_z
-        either = np.where(np.isfinite(value), np.maximum(gauss, flat), flat)  # a stuck source tells nothing by its count
-        e = np.column_stack(
-            [
-                rep + keep + np.where(np.isfinite(value), gauss, flat),
-                rep + keep + np.where(near & np.isfinite(value) & ~zero, -50.0, flat),
-                np.where(silent, 0.0, np.where(seen, ln(0.999), ln(0.001))) + keep + either,
-                rep + np.where(equal, ln(0.999), ln(0.001)) + either,
-            ]
-        )
-        post = forward_backward(e, _transitions(m), np.array([0.97, 0.01, 0.01, 0.01]))
-        # a stuck source that shows another count far off its level spikes inside the stretch
-        inside = (post[:, 2] + post[:, 3]) * (~equal & ~near & np.isfinite(value))
-        p_spike = np.where(zero & (np.expm1(expected) > 0.5), 1.0, post[:, 1] + inside)
-
-    opener, lasting = _stretches(t, seen | silent)
-    long_contents = (lasting > m.stuck_hours) & (lasting > m.contents_ratio * (_usual(lasting, opener) + 0.5)) & (opener != np.arange(size))
-    vopener, vlasting = _stretches(t, steady)
-    long_value = (vlasting > m.stuck_hours) & (vlasting > m.value_ratio * (_usual(vlasting, vopener) + 0.5)) & (vopener != np.arange(size))
-
-    def mean_of(p: np.ndarray, group: np.ndarray) -> np.ndarray:
-        return (np.bincount(group, p, size) / np.maximum(np.bincount(group, minlength=size), 1))[group]
-
-    stuck_c = mean_of(post[:, 2] + post[:, 3], opener)
-    stuck_v = mean_of(post[:, 2] + post[:, 3], vopener)
-    p_stuck = np.maximum(np.where(long_contents, stuck_c, 0.0), np.where(long_value, stuck_v, 0.0))
-    state = np.full(size, STATES[0], dtype=object)
-    state[long_value & (stuck_v > 0.5)] = STATES[3]
-    state[long_contents & (stuck_c > 0.5)] = STATES[2]
-    state[p_spike > 0.5] = STATES[1]
-    state[bad] = STATES[4]
-    return p_spike, p_stuck, state
-
-
-def _run(m: Model):
-    def span(pdf: pd.DataFrame) -> pd.DataFrame:
+    off = np.where(recent & (np.abs(lagged) < np.abs(off)), lagged, off)
+    scale = np.maximum(spread, np.maximum(m.least_spread, m.least_count / np.maximum(np.exp(expected), 1.0)))
+    z = off / scale
+    known = np.isfinite(s.value)
+    none = known & (s.value == 0) & (np.expm1(expected) > 0.5)
+    close = np.abs(z) < m.least_z
+    count = np.where(known, -0.5 * z**2 - np.log(scale) - 0.919, 0.0)
+    even = np.where(known, -np.log(m.spike_range), 0.0)
+    count = np.where(none, -60.0, count)
+    either = np.maximum(count, even)
+    spike = np.where(~known | (close & ~none), -60.0, even)
+    contents = _stuck(_lasting(s.t, s.again, s.own, edges[0], edges[1]), s.again, usual[0], m.contents_ratio, m)
+    value = _stuck(_lasting(s.t, s.steady, s.own, edges[2], edges[3]), s.steady, usual[1], m.value_ratio, m)
+    inside = np.where(s.bad, -60.0, 0.0)
+    e = np.column_stack([count + inside, spike + inside, either + contents + inside, either + value + inside, np.where(s.bad, 0.0, -60.0)])
+    return forward_backward(e, transitions(m), np.array([0.95, 0.01, 0.02, 0.01, 0.01]))
+
+
+def states(post: np.ndarray) -> np.ndarray:
+    """The state each reading is given: normal unless the others together are likelier, then their likeliest."""
+    other = post[:, 1:].argmax(axis=1) + 1
+    return np.where(post[:, 0] >= 0.5, 0, other)
+
+
+def _report_span(m: Model):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", "_id"], kind="stable")
-        code, _ = pd.factorize(pdf["_hash"])
-        p_spike, p_stuck, state = decide(
-            pdf["_t"].to_numpy(np.float64), pdf["_n"].to_numpy(np.float64), code, pdf["_seen"].to_numpy(bool), pdf["_bad"].to_numpy(bool), m
-        )
-        out = pd.DataFrame({"_id": pdf["_id"].to_numpy(), "_p_spike": p_spike, "_p_stuck": p_stuck, "_state": state})
-        return out[pdf["_own"].to_numpy(bool)]
+        return report(pdf["_key"].iloc[0], int(pdf["_span"].iloc[0]), Series.of(pdf, m))
+
+    return run
+
+
+def _run_span(m: Model):
+    def run(pdf: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(params):
+            return pd.DataFrame({"_id": np.empty(0, np.int64), "_p_spike": np.empty(0), "_p_stuck": np.empty(0), "_state": np.empty(0, object)})
+        pdf = pdf.sort_values(["_t", "_id"], kind="stable")
+        s, p = Series.of(pdf, m), params.iloc[0]
+        post = posteriors(s, np.array(p["rhythm"]), float(p["spread"]), np.array(p["usual"]), np.array(p["edges"], float))
+        out = pd.DataFrame({"_id": pdf["_id"].to_numpy(), "_p_spike": post[:, 1], "_p_stuck": post[:, 2] + post[:, 3], "_state": np.array(STATES, object)[states(post)]})
+        return out[s.own]
+
+    return run
+
 
-    return span
+def collection_end(times: DataFrame, at: Column, bounds: Bounds) -> DataFrame:
+    """One row ``_late``: seconds after which no reading can lie; found on the days with readings alone."""
+    days = times.filter(at >= F.to_timestamp(F.lit(bounds.starts))).select(F.floor(at.cast("double") / DAY).alias("d")).distinct()
+    # a few thousand days: gathered as one sorted array
+    all_days = days.agg(F.array_sort(F.collect_list("d")).alias("a"))
+    last = F.aggregate("a", F.element_at(F.concat("a", F.array(F.lit(0).cast("long"))), 1), lambda acc, d: F.when(d - acc <= bounds.late_days, d).otherwise(acc))
+    return all_days.select(((last + 1) * DAY).alias("_late"))
 
 
 def flag_readings(
@@ -272,39 +464,35 @@ def flag_readings(
     cols = {"_source": F.col(source), "_at": F.col(at), "_n": F.col(count).cast("double"), "_new": F.col(fresh_count).cast("double"), "_hash": F.col(contents), "_ok": F.coalesce(answered, F.lit(False))}
     base = polls.filter(F.col(reading).isNotNull()).groupBy(F.col(reading).cast("long").alias("_id")).agg(F.min(F.struct(*[c.alias(k) for k, c in cols.items()])).alias("r"))
     base = base.select("_id", "r.*")
-    late = polls.agg((F.percentile_approx(F.col(at).cast("double"), F.lit(bounds.late_q), F.lit(10_000)) + bounds.late_days * 86_400.0).alias("_late"))
+    late = collection_end(polls, F.col(at), bounds)
     base = base.crossJoin(F.broadcast(late)).withColumn("_t", F.col("_at").cast("double"))  # one row
-    when_bad = (F.col("_at") < F.to_timestamp(F.lit(bounds.starts))) | (F.col("_t") > F.col("_late"))
+    when_bad = (F.col("_at") < F.to_timestamp(F.lit(bounds.starts))) | (F.col("_t") >= F.col("_late"))
     count_bad = (F.col("_n") < 0) | (F.col("_n") > bounds.max_items)
     new_bad = (F.col("_new") < 0) | ((F.col("_new") > F.col("_n")) & (F.col("_n") >= 0))
     base = base.select(
-        "_id", "_source", "_at", "_t", "_n", "_hash", "_ok",
+        "_id", "_source", "_t", "_n", "_hash", "_ok",
+        F.coalesce(F.concat(F.lit("="), F.col("_source").cast("string")), F.lit("")).alias("_key"),
         F.coalesce(when_bad, F.lit(False)).alias("_when_bad"),
         F.coalesce(count_bad, F.lit(False)).alias("_bad"),
         F.coalesce(new_bad, F.lit(False)).alias("_new_bad"),
     )
+    base = cut(base, "readings")
     used = base.filter("_ok and not _when_bad and _t is not null")
-    first = used.filter("_hash is not null").groupBy("_source", "_hash").agg(F.min(F.struct("_t", "_id")).alias("f"))
-    first = first.select(F.col("_source").alias("_fs"), F.col("_hash").alias("_fh"), F.col("f._id").alias("_first"))
-    spans = used.groupBy("_source").agg(F.count("*").alias("c"), F.min("_t").alias("_from"), F.max("_t").alias("to"))
-    days = F.greatest((F.col("to") - F.col("_from")) / 86400.0, F.lit(1.0))
-    length = F.least(F.greatest(SPAN_ROWS * days / F.col("c"), F.lit(float(SPAN_MIN_DAYS))), F.lit(float(SPAN_MAX_DAYS)))
-    spans = spans.select(F.col("_source").alias("_ss"), "_from", (F.ceil(length) * 86400).cast("double").alias("_len"))
-    marked = used.join(first, F.col("_source").eqNullSafe(F.col("_fs")) & (F.col("_hash") == F.col("_fh")), "left").drop("_fs", "_fh")
-    marked = marked.join(spans, F.col("_source").eqNullSafe(F.col("_ss"))).drop("_ss")
-    halo = HALO_DAYS * 86400.0
-    own = F.floor((F.col("_t") - F.col("_from")) / F.col("_len"))
-    lo = F.greatest(F.floor((F.col("_t") - F.col("_from") - halo) / F.col("_len")), F.lit(0))
-    hi = F.floor((F.col("_t") - F.col("_from") + halo) / F.col("_len"))
-    marked = marked.withColumn("_own_span", own).withColumn("_span", F.explode(F.sequence(lo, hi)))
+    first = used.filter("_hash is not null").groupBy("_key", "_hash").agg(F.min(F.struct("_t", "_id")).alias("f")).select("_key", "_hash", F.col("f._id").alias("_first"))
+    marked = used.join(first, ["_key", "_hash"], "left")
+    halo, length = HALO_DAYS * DAY, SPAN_DAYS * DAY
+    span = lambda t: F.floor(t / length)
+    marked = marked.withColumn("_span", F.explode(F.sequence(span(F.col("_t") - halo), span(F.col("_t") + halo))))
     marked = marked.select(
-        "_source", "_span", "_id", "_t", "_n", F.xxhash64("_hash").alias("_h"), F.col("_hash").isNull().alias("_no"),
-        "_bad", (F.col("_span") == F.col("_own_span")).alias("_own"), F.coalesce(F.col("_first") != F.col("_id"), F.lit(False)).alias("_seen"),
+        "_key", "_span", "_id", "_t", "_n", F.when(F.col("_hash").isNotNull(), F.xxhash64("_hash")).alias("_hash"),
+        "_bad", (F.col("_span") == span(F.col("_t"))).alias("_own"), F.coalesce(F.col("_first") != F.col("_id"), F.lit(False)).alias("_seen"),
     )
-    marked = marked.withColumn("_hash", F.when(~F.col("_no"), F.col("_h"))).drop("_h", "_no")
-    found = marked.groupBy("_source", "_span").applyInPandas(_run(model), SCHEMA)
-    found = found.withColumnRenamed("_id", "_fid")
-    out = base.join(found, F.col("_id") == F.col("_fid"), "left")
+    marked = cut(marked, "spans")
+    told = marked.groupBy("_key", "_span").applyInPandas(_report_span(model), REPORT)
+    told = told.groupBy("_key", "kind", "slot", "bin").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
+    params = told.groupBy("_key").applyInPandas(fit, FITTED)
+    found = marked.groupBy("_key", "_span").cogroup(params.groupBy("_key", "_span")).applyInPandas(_run_span(model), SCHEMA)
+    out = base.join(found, "_id", "left")
     hard = F.col("_ok") & (F.col("_when_bad") | F.col("_bad") | F.col("_new_bad"))
     state = F.when(hard, F.lit(STATES[4])).otherwise(F.coalesce("_state", F.lit(STATES[0])))
     return out.select(
