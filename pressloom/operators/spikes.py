@@ -161,11 +161,6 @@ def forward_backward(log_e: np.ndarray, trans: np.ndarray, start: np.ndarray) ->
     return unit((f * back).reshape(-1, k)[:n])
 
 
-def _first_true(change: np.ndarray) -> np.ndarray:
-    """For each position the index of the latest True at or before it."""
-    return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
-
-
 def one_value(value: np.ndarray, m: Model) -> np.ndarray:
     """True where a reading goes on a run of one value; short runs far aside and unknown counts do not end it."""
     size = len(value)
@@ -230,22 +225,40 @@ class Series:
         return ((self.t // 3600) % 24 * 7 + (self.t // DAY) % 7).astype(int)
 
     @property
-    def same(self) -> np.ndarray:
-        """Contents and count of the poll before."""
-        out = np.zeros(len(self.t), bool)
-        out[1:] = (self.code[1:] == self.code[:-1]) & (self.code[1:] >= 0) & (self.value[1:] == self.value[:-1])
-        return out
+    def anchor(self) -> np.ndarray:
+        """Of each reading the first one that told the same count, contents unchanged since."""
+        at = np.arange(len(self.t))
+        kept = np.concatenate([[False], (self.code[1:] == self.code[:-1]) & (self.code[1:] >= 0)])
+        pair = np.stack([np.cumsum(~kept).astype(float), np.nan_to_num(self.value, nan=-1.0)])
+        _, first, which = np.unique(pair, axis=1, return_index=True, return_inverse=True)
+        return np.where(np.isfinite(self.value), first[which.ravel()], at)
 
     def level(self, x: np.ndarray, half: int) -> np.ndarray:
         return running_median(x, self.t, half, REACH_DAYS * DAY)
 
 
+    def day_level(self) -> np.ndarray:
+        """The level over a day about each reading, on medians per hour, however densely the source is read."""
+        hour = (self.t // 3600).astype(np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], hour[1:] != hour[:-1]]))
+        y = self.y
+        ends = np.append(begins[1:], len(y))
+        per = np.array([y[a] if b - a == 1 else _median(y[a:b]) for a, b in zip(begins, ends, strict=True)])
+        level = running_median(per, self.t[begins], self.m.half_window, REACH_DAYS * DAY)
+        return np.repeat(level, ends - begins)
+
+
+def _median(x: np.ndarray) -> float:
+    x = x[np.isfinite(x)]
+    return float(np.median(x)) if len(x) else np.nan
+
+
 def report(key: str, span: int, s: Series) -> pd.DataFrame:
     """A span's part of its source's statistics (``REPORT``): residuals, stretches that lie within, edges."""
     rows: list[tuple] = []
     y = s.y
-    r = np.round((y - s.level(y, s.m.half_window)) * 100)
-    use = s.own & np.isfinite(r) & ~s.same
+    r = np.round((y - s.day_level()) * 100)
+    use = s.own & np.isfinite(r) & (s.anchor == np.arange(len(y)))
     both, n = np.unique(np.stack([s.slot[use], r[use].astype(int)]), axis=1, return_counts=True)
     rows += [(key, "r", int(a), int(b), int(c), None) for (a, b), c in zip(both.T, n, strict=True)]
     own = np.flatnonzero(s.own)
@@ -384,9 +397,8 @@ def posteriors(s: Series, rhythm: np.ndarray, spread: float, usual: np.ndarray,
     expected = np.where(np.isfinite(expected), expected, fallback)
     off = np.where(np.isfinite(y), y - expected, 0.0)
     # contents served again carry the count of the poll that first served them: compare it to its time
-    same = s.same
-    anchor = _first_true(~same)
-    recent = same & (s.t - s.t[anchor] <= REACH_DAYS * DAY)
+    anchor = s.anchor
+    recent = (anchor < at) & (s.t - s.t[anchor] <= REACH_DAYS * DAY)
     lagged = y - expected[anchor]
     off = np.where(recent & (np.abs(lagged) < np.abs(off)), lagged, off)
     scale = np.maximum(spread, np.maximum(m.least_spread, m.least_count / np.maximum(np.exp(expected), 1.0)))
@@ -402,7 +414,8 @@ def posteriors(s: Series, rhythm: np.ndarray, spread: float, usual: np.ndarray,
     contents = _stuck(_lasting(s.t, s.again, s.own, edges[0], edges[1]), s.again, usual[0], m.contents_ratio, m)
     value = _stuck(_lasting(s.t, s.steady, s.own, edges[2], edges[3]), s.steady, usual[1], m.value_ratio, m)
     inside = np.where(s.bad, -60.0, 0.0)
-    e = np.column_stack([count + inside, spike + inside, either + contents + inside, either + value + inside, np.where(s.bad, 0.0, -60.0)])
+    # contents that stay put keep their count as well
+    e = np.column_stack([count + inside, spike + inside, either + contents + np.maximum(value, 0.0) + inside, either + value + inside, np.where(s.bad, 0.0, -60.0)])
     return forward_backward(e, transitions(m), np.array([0.95, 0.01, 0.02, 0.01, 0.01]))
 
 

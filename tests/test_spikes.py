@@ -68,15 +68,58 @@ def test_constant_source_flags_only_the_spike(spark):
 
 
 def test_split_source_equals_whole(spark, monkeypatch):
-    rows = [tuple(r) for r in series(4)]
-    rows[400] = (*rows[400][:4], 300, *rows[400][5:])
+    rows = series(4, hours=24 * 90)
+    rows[400][4], rows[401][4] = 300, 0
+    for h in range(900, 900 + 24 * 38):  # longer than a span and its surroundings
+        rows[h][6] = rows[899][6]
+    for h in range(1900, 1990):
+        rows[h][4] = rows[1899][4]
+    rows = [tuple(r) for r in rows]
+    monkeypatch.setattr(spikes, "SPAN_DAYS", 1000)
     whole = flags(spark, rows)
-    monkeypatch.setattr(spikes, "SPAN_ROWS", 100)
-    monkeypatch.setattr(spikes, "SPAN_MAX_DAYS", 10)
-    monkeypatch.setattr(spikes, "SPAN_MIN_DAYS", 10)
-    split = flags(spark, rows)
-    assert set(split) == set(whole) and split[400] == "spike"
-    assert sum(split[k] != whole[k] for k in whole) <= 2
+    for days in (9, 56):
+        monkeypatch.setattr(spikes, "SPAN_DAYS", days)
+        assert flags(spark, rows) == whole
+    stuck = {k for k, v in whole.items() if v.startswith("stuck")}
+    assert stuck == {*range(900, 900 + 24 * 38), *range(1900, 1990)} and whole[400] == whole[401] == "spike"
+
+
+def test_more_readings_change_no_other_source(spark):
+    rows = [tuple(r) for r in series(5, hours=600)]
+    alone = flags(spark, rows)
+    more = flags(spark, rows + [tuple(r) for r in series(6, hours=900, base=10_000)])
+    assert {k: v for k, v in more.items() if k < 10_000} == alone
+
+
+def test_forward_backward_equals_a_plain_run():
+    rng, m = np.random.default_rng(0), spikes.transitions(spikes.Model())
+    start = np.array([0.95, 0.01, 0.02, 0.01, 0.01])
+    for n in (1, 2, 3, 10, 101, 700):
+        log_e = rng.normal(0, 4, (n, 5))
+        e = np.exp(log_e)
+        f, b = np.empty((n, 5)), np.ones((n, 5))
+        f[0] = start * e[0]
+        for i in range(1, n):
+            f[i] = (f[i - 1] @ m) * e[i]
+            f[i] /= f[i].sum()
+        for i in range(n - 2, -1, -1):
+            b[i] = m @ (e[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
+        want = f * b / (f * b).sum(axis=1, keepdims=True)
+        assert np.allclose(spikes.forward_backward(log_e, m, start), want)
+
+
+def test_posteriors_make_the_flags():
+    for k in range(5):
+        post = np.zeros((4, 5))
+        post[:, k] = 1.0
+        assert (spikes.states(post) == k).all()
+
+
+def test_one_value_with_short_runs_aside():
+    m = spikes.Model()
+    got = spikes.one_value(np.array([5, 7, 7, 90, 91, 7, 7, 8, 7, np.nan, 7]), m)
+    assert got.tolist() == [False, False, True, True, True, True, True, False, False, True, True]
 
 
 def test_nulls_short_sources_and_empty(spark):
