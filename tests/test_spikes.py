@@ -69,7 +69,7 @@ def test_constant_source_flags_only_the_spike(spark):
 
 def test_split_source_equals_whole(spark, monkeypatch):
     rows = series(4, hours=24 * 90)
-    rows[400][4], rows[401][4] = 300, 0
+    rows[400][4], rows[401][4], rows[401][5] = 300, 0, 0
     for h in range(900, 900 + 24 * 38):  # longer than a span and its surroundings
         rows[h][6] = rows[899][6]
     for h in range(1900, 1990):
