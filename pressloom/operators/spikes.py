@@ -168,20 +168,17 @@ def one_value(value: np.ndarray, m: Model) -> np.ndarray:
     at = np.flatnonzero(np.isfinite(value))
     if len(at) == 0:
         return on
-    for _ in range(2):
-        v = value[at]
-        new = np.concatenate([[True], v[1:] != v[:-1]])
-        run = np.cumsum(new) - 1
-        begins = np.flatnonzero(new)
-        length = np.diff(np.append(begins, len(v)))
-        held = v[begins]
-        between = np.zeros(len(held), bool)
-        far = np.abs(np.log1p(np.maximum(held[1:-1], 0)) - np.log1p(np.maximum(held[:-2], 0))) >= m.aside
-        between[1:-1] = (held[:-2] == held[2:]) & (length[1:-1] <= m.aside_readings) & far
-        keep = ~between[run]
-        if keep.all():
-            break
-        at = at[keep]
+    v = value[at]
+    logs = np.log1p(np.maximum(v, 0))
+    aside = np.zeros(len(v), bool)
+    held = np.concatenate([[False], v[1:] == v[:-1]])  # the value has stood for two readings at least
+    for k in range(1, min(m.aside_readings, len(v) - 2) + 1):
+        back = held[: -k - 1] & (v[: -k - 1] == v[k + 1 :])
+        for j in range(1, k + 1):
+            back &= np.abs(logs[j : len(v) - k - 1 + j] - logs[: -k - 1]) >= m.aside
+        for j in range(1, k + 1):
+            aside[j : len(v) - k - 1 + j] |= back
+    at = at[~aside]
     inside = np.zeros(size, bool)
     inside[at] = True
     v = value[at]
@@ -229,8 +226,8 @@ class Series:
         """Of each reading the first one that told the same count, contents unchanged since."""
         at = np.arange(len(self.t))
         kept = np.concatenate([[False], (self.code[1:] == self.code[:-1]) & (self.code[1:] >= 0)])
-        pair = np.stack([np.cumsum(~kept).astype(float), np.nan_to_num(self.value, nan=-1.0)])
-        _, first, which = np.unique(pair, axis=1, return_index=True, return_inverse=True)
+        pair = np.cumsum(~kept) * (1 << 33) + np.nan_to_num(self.value, nan=-1.0).astype(np.int64)
+        _, first, which = np.unique(pair, return_index=True, return_inverse=True)
         return np.where(np.isfinite(self.value), first[which.ravel()], at)
 
     def level(self, x: np.ndarray, half: int) -> np.ndarray:
@@ -241,43 +238,48 @@ class Series:
         """The level over a day about each reading, on medians per hour, however densely the source is read."""
         hour = (self.t // 3600).astype(np.int64)
         begins = np.flatnonzero(np.concatenate([[True], hour[1:] != hour[:-1]]))
+        size = np.diff(np.append(begins, len(hour)))
         y = self.y
-        ends = np.append(begins[1:], len(y))
-        per = np.array([y[a] if b - a == 1 else _median(y[a:b]) for a, b in zip(begins, ends, strict=True)])
-        level = running_median(per, self.t[begins], self.m.half_window, REACH_DAYS * DAY)
-        return np.repeat(level, ends - begins)
-
-
-def _median(x: np.ndarray) -> float:
-    x = x[np.isfinite(x)]
-    return float(np.median(x)) if len(x) else np.nan
+        ordered = y[np.lexsort((y, hour))]  # unknown counts come last in their hour
+        known = np.add.reduceat(np.isfinite(y).astype(int), begins)
+        mid = 0.5 * (ordered[begins + np.maximum(known - 1, 0) // 2] + ordered[begins + np.minimum(known // 2, size - 1)])
+        level = running_median(np.where(known > 0, mid, np.nan), self.t[begins], self.m.half_window, REACH_DAYS * DAY)
+        return np.repeat(level, size)
 
 
 def report(key: str, span: int, s: Series) -> pd.DataFrame:
     """A span's part of its source's statistics (``REPORT``): residuals, stretches that lie within, edges."""
-    rows: list[tuple] = []
+    kinds: list[str] = []
+    cells: list[np.ndarray] = []  # slot, bin, n
     y = s.y
     r = np.round((y - s.day_level()) * 100)
     use = s.own & np.isfinite(r) & (s.anchor == np.arange(len(y)))
-    both, n = np.unique(np.stack([s.slot[use], r[use].astype(int)]), axis=1, return_counts=True)
-    rows += [(key, "r", int(a), int(b), int(c), None) for (a, b), c in zip(both.T, n, strict=True)]
+    both, n = np.unique(s.slot[use] * (1 << 20) + r[use].astype(int) + (1 << 19), return_counts=True)
+    kinds += ["r"] * len(both)
+    cells.append(np.stack([both >> 20, (both & ((1 << 20) - 1)) - (1 << 19), n]))
     own = np.flatnonzero(s.own)
+    edge = None
     if len(own):
         t = s.t[own]
-        edge = [t[0], t[-1]]
+        edge = [float(t[0]), float(t[-1])]
         for kind, on in (("c", s.again[own]), ("v", s.steady[own])):
             begins = np.flatnonzero(~on)
             ends = np.append(begins[1:], len(t)) - 1
             # the stretches before the first opener and after the last belong to the edges
-            hours = (t[ends[:-1]] - t[begins[:-1]]) / 3600.0
-            bins, n = np.unique((hours * 4).astype(int), return_counts=True)
-            rows += [(key, kind, 0, int(b), int(c), None) for b, c in zip(bins, n, strict=True)]
+            bins, n = np.unique(((t[ends[:-1]] - t[begins[:-1]]) / 900.0).astype(int), return_counts=True)
+            kinds += [kind] * len(bins)
+            cells.append(np.stack([np.zeros(len(bins), int), bins, n]))
             if len(begins):
-                edge += [t[begins[0] - 1] if begins[0] else np.nan, t[begins[-1]]]
+                edge += [float(t[begins[0] - 1]) if begins[0] else np.nan, float(t[begins[-1]])]
             else:
-                edge += [t[-1], np.nan]
-        rows.append((key, "e", int(span), 0, 1, [float(x) for x in edge]))
-    return pd.DataFrame(rows, columns=["_key", "kind", "slot", "bin", "n", "v"]).astype({"_key": object, "kind": object, "slot": np.int64, "bin": np.int64, "n": np.int64})
+                edge += [float(t[-1]), np.nan]
+        kinds.append("e")
+        cells.append(np.array([[span], [0], [1]]))
+    told = np.concatenate(cells, axis=1).astype(np.int64)
+    v = np.full(len(kinds), None, object)
+    if edge is not None:
+        v[-1] = edge
+    return pd.DataFrame({"_key": np.full(len(kinds), key, object), "kind": np.array(kinds, object), "slot": told[0], "bin": told[1], "n": told[2], "v": v})
 
 
 def _quantile(bins: np.ndarray, n: np.ndarray, q: float) -> float:
@@ -291,19 +293,23 @@ def _quantile(bins: np.ndarray, n: np.ndarray, q: float) -> float:
 
 def _grouped_medians(group: np.ndarray, r: np.ndarray, n: np.ndarray, groups: int, least: int) -> np.ndarray:
     out = np.zeros(groups)
+    order = np.lexsort((r, group))
+    group, r, n = group[order], r[order], n[order]
+    ends = np.searchsorted(group, np.arange(groups + 1))
+    c = np.concatenate([[0], np.cumsum(n)])
     for g in range(groups):
-        k = group == g
-        if n[k].sum() >= least:
-            out[g] = _quantile(r[k], n[k], 0.5)
+        a, b = ends[g], ends[g + 1]
+        if c[b] - c[a] >= least:
+            out[g] = r[np.searchsorted(c[a + 1 : b + 1], c[a] + 0.5 * (c[b] - c[a]), side="left") + a]
     return out - np.median(out)
 
 
 def fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """A source's parameters, and what each of its spans must know of the others (``FITTED``)."""
     key = pdf["_key"].iloc[0]
-    part = {k: pdf[pdf["kind"] == k] for k in "rcve"}
-    res = part["r"]
-    slot, r, n = res["slot"].to_numpy(int), res["bin"].to_numpy(float) / 100, res["n"].to_numpy(float)
+    kinds, slots, bins_of, counts, told = (pdf[c].to_numpy() for c in ("kind", "slot", "bin", "n", "v"))
+    part = {k: np.flatnonzero(kinds == k) for k in "rcve"}
+    slot, r, n = slots[part["r"]].astype(int), bins_of[part["r"]] / 100.0, counts[part["r"]].astype(float)
     hour, dow = np.zeros(24), np.zeros(7)
     for _ in range(3):
         hour = _grouped_medians(slot // 7, r - dow[slot % 7], n, 24, 5)
@@ -311,8 +317,8 @@ def fit(pdf: pd.DataFrame) -> pd.DataFrame:
     rhythm = (hour[:, None] + dow[None, :]).ravel()
     rest = r - rhythm[slot]
     spread = 1.4826 * _quantile(np.abs(rest - _quantile(rest, n, 0.5)), n, 0.5) if n.sum() >= 8 else 0.25
-    spans = part["e"].sort_values("slot")
-    v = np.array(spans["v"].tolist(), float).reshape(-1, 6)
+    spans = part["e"][np.argsort(slots[part["e"]], kind="stable")]
+    v = np.array([list(x) for x in told[spans]], float).reshape(-1, 6)
     usual, edges = [], np.full((len(v), 4), np.nan)
     for j, kind in enumerate("cv"):
         head, tail = v[:, 2 + 2 * j], v[:, 3 + 2 * j]
@@ -332,12 +338,11 @@ def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             edges[i, 2 * j + 1] = end
             if not np.isnan(tail[i]):
                 hours.append((end - tail[i]) / 3600.0)
-        h = part[kind]
-        bins = np.concatenate([h["bin"].to_numpy(float) / 4, np.floor(np.array(hours) * 4) / 4])
-        q = _quantile(bins, np.concatenate([h["n"].to_numpy(float), np.ones(len(hours))]), 0.9)
+        bins = np.concatenate([bins_of[part[kind]] / 4.0, np.floor(np.array(hours) * 4) / 4])
+        q = _quantile(bins, np.concatenate([counts[part[kind]], np.ones(len(hours))]), 0.9)
         usual.append(0.0 if np.isnan(q) else q)
     return pd.DataFrame(
-        {"_key": key, "_span": spans["slot"].to_numpy(np.int64), "rhythm": [rhythm.tolist()] * len(v), "spread": spread, "usual": [usual] * len(v), "edges": edges.tolist()}
+        {"_key": key, "_span": slots[spans].astype(np.int64), "rhythm": [rhythm.tolist()] * len(v), "spread": spread, "usual": [usual] * len(v), "edges": edges.tolist()}
     ).astype({"_key": object})
 
 
