@@ -1,13 +1,19 @@
 """Sentence boundaries across languages and scripts (problem 9).
 
-Method: boundary rules compiled into a finite transducer. A text is read as a sequence of symbols,
-one per mark that can matter (ends, quotes, brackets, paragraph breaks, blanks between Thai words);
-what a mark is, is decided from its surroundings alone: the words before it, the character after it.
-Whether it ends a sentence depends on the state (in a quotation that opened the sentence, in one that
-came later, in a bracket, ...), and that is the transducer's part. Every symbol is a function from
-states to states; the symbols of a batch are cut into chunks, the functions of a chunk are composed,
-chunks are joined by a prefix scan, and then every chunk is replayed from its own start state. Chunks
-are independent, so a text of any length is no longer than its longest chunk.
+Method: boundary rules compiled into a finite transducer, run over chunks as functions of the state.
+
+1. **Alphabet.** A text is read as symbols: marks, quotes, brackets, paragraph breaks, blanks between Thai
+   words, and FILL for what lies between. A mark's symbol is looked up in a table compiled from ``RULES``:
+   class of the word before it (a trie of abbreviations), class of what follows it. Both are local.
+2. **Transducer.** Its states are products of where the reading stands (in a quotation that opened the
+   sentence, in one that came later, in a bracket, ...), whether low quotes are open, whether anything was
+   said since the last symbol, and whether a final mark was the last thing said. Tables give the next
+   state and whether the symbol ends a sentence (:func:`compile_tables`).
+3. **Chunks.** Every run of symbols is a function from states to states. Functions of chunks are composed
+   by a parallel prefix scan, and each chunk is then replayed from its own start state. Within a task
+   chunks are runs of ``CHUNK`` symbols; a document longer than ``LONG`` characters is also cut into pieces
+   that go to different tasks, and their functions are composed per document. Pieces are cut only
+   where no rule looks across: before a paragraph, between plain words, inside a run of Han or kana.
 
 Rules look at scripts, not at the language a document claims, as that may be missing or wrong.
 """
@@ -17,12 +23,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.session import cut
+
 # --- fixed values: abbreviations by what may follow them ------------------------------------------
 #: Never end a sentence.
 NEVER = frozenset(
@@ -38,10 +47,10 @@ NEVER = frozenset(
     ดร นพ
     """.split()
 )
-#: Months: never before a number or a small letter, otherwise as SOMETIMES.
+#: Months: end a sentence before a capital or an opening mark, not before a number.
 MONTHS = frozenset("jan feb mar apr jun jul aug sep sept oct nov dec".split())
-#: End a sentence only if a usual first word follows.
-SOMETIMES = frozenset("inc ltd co corp bros jr sr ph.d m.d b.a m.a plc llc e.v gmbh s.a cía".split())
+#: End a sentence before a capital, a number or an opening mark.
+SOMETIMES = frozenset("inc ltd co corp bros jr ph.d m.d b.a m.a plc llc e.v gmbh s.a cía".split())
 #: End a sentence before any capital, number or opening mark.
 OFTEN = frozenset("etc al usw usf a.m p.m π.μ μ.μ a.c d.c".split())
 #: Countries: end a sentence before a capital, except before what they usually qualify.
@@ -52,13 +61,6 @@ QUALIFIED = frozenset(
     secretary attorney state capitol federal military dollar bank security national foreign parliament office home
     """.split()
 )
-FIRST_WORDS = frozenset(
-    """
-    the a an at in on it its is was were are he she they we you i this that these those there what who which when where why how
-    but and or if as after before critics ministers towns really see no not mr mrs ms dr prof messrs gen version residents
-    documents one some many most all both each every for from with by to of
-    """.split()
-)
 
 TERMINAL = ".!?…。！？।॥؟｡︒"
 STRONG = "。！？।॥؟｡︒"
@@ -68,82 +70,240 @@ _TAG = r"</?[a-zA-Z][^<>]*>"
 _SKIP = re.compile(rf"(?:\s|[­​-‏⁠﻿̀-ͯ]|{_TAG})*")
 #: Every character that can matter, as one set: the scan skips all others at full speed.
 _CANDIDATE = re.compile("[" + re.escape(TERMINAL + CLOSERS + OPENERS.replace("¿¡", "") + "’\"';\n") + "]")
+_GAP = re.compile(rf"(?:\s|[­​-‏⁠﻿\"'{re.escape(CLOSERS)}]|{_TAG})*")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 _LIST_LINE = re.compile(r"\n[^\S\n]*[-•*·▪◦‣][^\S\n]")
 _CLOCK_LINE = re.compile(r"\n[^\S\n]*\d{1,2}[.:]\d\d(?:[ ][A-Z]{2,5})?[^\S\n]*(?:\n|$)")
 _THAI = re.compile(r"(?<=[ก-๏])\s+(?=[ก-๏])")
 _DATELINE = re.compile(r"(?<![^\n])[^\S\n]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'’ .\-]{2,40}(?:,[^—–\n(]{0,30})?(?:\s*\([^)\n]{1,30}\))?\s*[—–]\s")
 _CLOCK = re.compile(r"(?<![^\n])[^\S\n]*\d{1,2}[.:]\d\d(?: [A-Z]{2,5})?[^\S\n]*(?=\n)")
-_ORDINAL = re.compile(r"(?:^|[\s(„“\"])(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Dd]em|[Dd]en|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Bb]eim|[Bb]is|[Aa]b|[Ss]eit)\s+\d{1,2}$")
-_MONTH_DE = re.compile(r"(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
-_HOUR = re.compile(r"(?:^|[.!?…”\"’')»—\n]\s*)(?:At|By|Around|About|Until|From|Before|After|Since)\s+\d{1,2}(?:[.:]\d\d)?\s+[ap]\.\s?m$")
+_ORDINAL = re.compile(r"(?<!\w)(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Dd]em|[Dd]en|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Bb]eim|[Bb]is|[Aa]b|[Ss]eit)\s+\d{1,2}(?=\.)")
+_HOUR = re.compile(r"(?<!\w)(?:At|By|Around|About|Until|From|Before|After|Since)\s+\d{1,2}(?:[.:]\d\d)?\s+[ap]\.\s?m(?=\.)")
+GERMAN_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 _WORD = re.compile(r"[^\W\d_]+")
 
+# --- rules: class of the word before a mark -> what may follow it at the end of a sentence ------------
+# After a blank: P paragraph or text end, C closer, p other, l small letter, s small letter in a paragraph
+# without capitals, 9 number, J Han or kana, L other letter, O opener, U capital, Q a word countries
+# qualify, G a German month. Without a blank: l 9 J L T(hai) O as above after "+", U before a small letter
+# or blank, X before anything else.
+ANY = "9JLOUQG"
+RULES = {
+    "none": "9LOUQG",  # no word before the mark
+    "one": "",  # a single letter
+    "half apart": ANY,  # "a. m." and "p. m."
+    "union apart": "UQG",  # "e. V."
+    "states apart": "UGO9",  # "EE. UU."
+    "never": "",
+    "no": "JLOUQG",  # a word when small, and a number's sign only before a number
+    "can": "UQGO",  # est., par., min., max. are words as well
+    "month": "OUQG+LOU",
+    "often": ANY + "+LOU",
+    "half": ANY + "+LO",  # a.m. and p.m.
+    "half hour": "9JLO+LO",  # "At 8 p.m. the ..." opens a sentence
+    "country": "9JLOUG+LO",
+    "sometimes": "O9UQG+LO",
+    "digit": "9JLOUQ",
+    "digits": "9JLOUQ+OU",
+    "ordinal": "9JLO",  # "am 7. ..."
+    "number": ANY + "+LOU",
+    "dotted": ANY + "+LO",
+    "two": "s" + ANY + "+O",
+    "word": "s" + ANY + "+LOU",
+    "strong": "s" + ANY + "+9JLTOUX",  # ! ? and full stops of other scripts
+    "points": "9LOUQG+OUX",  # three points
+}
+LEFT = {name: i for i, name in enumerate(RULES)}
+RIGHT = {c: i for i, c in enumerate([*"PCpls9JLOUQG", *(f"+{c}" for c in "PCpl9JLTOUX")])}
+
+
+def _compile_rules() -> np.ndarray:
+    out = np.zeros((len(LEFT), len(RIGHT)), bool)
+    for name, said in RULES.items():
+        apart, _, glued = said.partition("+")
+        for c in apart:
+            out[LEFT[name], RIGHT[c]] = True
+        for c in glued:
+            out[LEFT[name], RIGHT[f"+{c}"]] = True
+    return out
+
+
+ENDS = _compile_rules().tolist()
+ABBREVIATIONS = (
+    dict.fromkeys(SOMETIMES, "sometimes") | dict.fromkeys(COUNTRIES, "country") | dict.fromkeys(OFTEN, "often") | {"a.m": "half", "p.m": "half"}
+    | dict.fromkeys(MONTHS, "month") | dict.fromkeys(NEVER, "never") | {"est": "can", "par": "can", "min": "can", "max": "can"}
+)
+#: No abbreviation is longer, so no longer word need be looked up.
+LONGEST = max(map(len, ABBREVIATIONS)) + 2
+LONGEST_PLAIN = max(len(a) for a in ABBREVIATIONS if a.isascii() and a.isalpha())
+
 # --- the transducer -------------------------------------------------------------------------------
-STATES = ("start", "middle", "quote first", "quote later", "single first", "single later", "bracket first", "bracket later", "title")
+MODES = ("start", "middle", "quote first", "quote later", "single first", "single later", "bracket first", "bracket later", "title")
 S0, M, QF, QL, SF, SL, BF, BL, TB = range(9)
-(END, PARA, OD0, OD1, OS0, OS1, CDN, CDE, CDM, CSN, CSE, CSM, BO0, BO1, BCN, BCE, TO, TC) = range(18)
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, emits) by symbol and state."""
-    to = np.tile(np.arange(9, dtype=np.uint8), (18, 1))
-    out = np.zeros((18, 9), bool)
-
-    def rule(symbol: int, froms: tuple[int, ...], target: int, emit: bool = False) -> None:
-        for s in froms:
-            to[symbol, s], out[symbol, s] = target, emit
-
-    rule(END, (S0, M), S0, True)
-    rule(PARA, tuple(range(9)), S0, True)
-    for fresh, later, first, second in ((OD0, OD1, QF, QL), (OS0, OS1, SF, SL)):
-        rule(fresh, (S0,), first)
-        rule(fresh, (M,), second)
-        rule(later, (S0, M), second)
-    for none, end, maybe, first, second in ((CDN, CDE, CDM, QF, QL), (CSN, CSE, CSM, SF, SL)):
-        rule(none, (first, second), M)
-        rule(end, (first, second, M), S0, True)
-        rule(maybe, (first,), M)
-        rule(maybe, (second, M), S0, True)
-    rule(BO0, (S0,), BF)
-    rule(BO0, (M,), BL)
-    rule(BO1, (S0, M), BL)
-    rule(BCN, (BF, BL), M)
-    rule(BCE, (BF,), S0, True)
-    rule(BCE, (BL,), M)
-    rule(TO, (S0, M), TB)
-    rule(TC, (TB,), M)
+STATES = 9 * 16
+SYMBOLS = (
+    "fill", "end", "mark", "para", "dateline", "low double", "double", "double close E", "double close M", "double close N",
+    "high E", "high M", "high N", "low single", "single", "six E", "six M", "six N", "single close E", "single close M", "single close N",
+    "bracket", "bracket close E", "bracket close N", "title", "title close",
+)
+SYM = {name: i for i, name in enumerate(SYMBOLS)}
+FILL, END, MARK, PARA, DATELINE = range(5)
+
+
+def _state(mode: int, low_double: int, low_single: int, fresh: int, ended: int) -> int:
+    return (((mode * 2 + low_double) * 2 + low_single) * 2 + fresh) * 2 + ended
+
+
+START = _state(S0, 0, 0, 1, 0)
+
+
+def _step(name: str, mode: int, ld: int, ls: int, fresh: int, ended: int) -> tuple[int, int, int, int, int, bool]:
+    """One rule of the transducer: next mode and flags, and whether a sentence ends."""
+    kind, _, follows = name.rpartition(" ") if name[-1] in "EMN" and name[-2] == " " else (name, "", "")
+
+    def opened(first: int, later: int) -> int:
+        if mode == S0:
+            return first if fresh else later
+        return later if mode == M else mode
+
+    def closed(first: int, later: int) -> tuple[int, bool]:
+        said = follows if ended else "N"
+        if said == "N":
+            return (M if mode in (first, later) else mode), False
+        if said == "E":
+            return (S0, True) if mode in (first, later, M) else (mode, False)
+        if mode == first:  # the quotation opened the sentence: it goes on
+            return M, False
+        return (S0, True) if mode in (later, M) else (mode, False)
+
+    if kind == "fill":
+        return mode, ld, ls, 0, 0, False
+    if kind == "end":
+        return (S0 if mode in (S0, M) else mode), ld, ls, 1, 1, mode in (S0, M)
+    if kind == "mark":
+        return mode, ld, ls, 0, 1, False
+    if kind == "para":
+        return S0, 0, 0, 1, 0, True  # whatever was before: the start state
+    if kind == "dateline":
+        return mode, ld, ls, 1, 0, False
+    if kind == "low double":
+        return opened(QF, QL), 1, ls, 1, 0, False
+    if kind == "double":
+        return opened(QF, QL), ld, ls, 1, ended, False
+    if kind == "high":  # closes a low quote, else opens
+        if not ld:
+            return opened(QF, QL), 0, ls, 1, 0, False
+        to, out = closed(QF, QL)
+        return to, 0, ls, 1, ended, out
+    if kind == "double close":
+        to, out = closed(QF, QL)
+        return to, ld, ls, 1, ended, out
+    if kind == "low single":
+        return opened(SF, SL), ld, 1, 1, 0, False
+    if kind == "single":
+        return opened(SF, SL), ld, 0, 1, ended, False
+    if kind == "six":
+        if not ls:
+            return opened(SF, SL), ld, 0, 1, 0, False
+        to, out = closed(SF, SL)
+        return to, ld, 0, 1, ended, out
+    if kind == "single close":
+        to, out = closed(SF, SL)
+        return to, ld, ls, 1, ended, out
+    if kind == "bracket":
+        return opened(BF, BL), ld, ls, 1, 0, False
+    if kind == "bracket close":
+        if mode == BF and follows == "E" and ended:
+            return S0, ld, ls, 1, ended, True
+        return (M if mode in (BF, BL) else mode), ld, ls, 1, ended, False
+    if kind == "title":
+        return (TB if mode in (S0, M) else mode), ld, ls, 1, 0, False
+    return (M if mode == TB else mode), ld, ls, 1, ended, False  # title close
+
+
+def compile_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(next state, ends a sentence) by symbol and state."""
+    to, out = np.zeros((len(SYMBOLS), STATES), np.uint8), np.zeros((len(SYMBOLS), STATES), bool)
+    for k, name in enumerate(SYMBOLS):
+        for mode in range(9):
+            for flags in range(16):
+                *nxt, ends = _step(name, mode, flags >> 3 & 1, flags >> 2 & 1, flags >> 1 & 1, flags & 1)
+                to[k, mode * 16 + flags], out[k, mode * 16 + flags] = _state(*nxt), ends
     return to, out
 
 
-TO_STATE, EMITS = _tables()
+TO_STATE, EMITS = compile_tables()
+IDLE = len(SYMBOLS)  # pads the last chunk
+TO_STATE = np.vstack([TO_STATE, np.arange(STATES, dtype=np.uint8)])
+EMITS = np.vstack([EMITS, np.zeros(STATES, bool)])
 CHUNK = 64
 
 
-def transduce(symbols: np.ndarray, start: int = S0) -> np.ndarray:
-    """True where a symbol ends a sentence; symbols are run in chunks, joined by a prefix scan."""
-    n = len(symbols)
-    if n == 0:
-        return np.zeros(0, bool)
-    chunks = -(-n // CHUNK)
-    padded = np.concatenate([symbols, np.full(chunks * CHUNK - n, 255, np.uint8)]).reshape(chunks, CHUNK)
-    table = np.vstack([TO_STATE, np.tile(np.arange(9, dtype=np.uint8), (256 - len(TO_STATE), 1))])
-    # each chunk as a function of its start state
-    func = np.tile(np.arange(9, dtype=np.uint8), (chunks, 1))
-    for k in range(CHUNK):
-        func = table[padded[:, k, None], func]
-    # inclusive prefix composition by doubling: after it func[i] is chunks 0..i
-    step = 1
-    while step < chunks:
+def prefix_compose(func: np.ndarray) -> np.ndarray:
+    """Functions of 0..i composed, for each i, by doubling; rows are functions from states to states."""
+    func, step = func.copy(), 1
+    while step < len(func):
         func[step:] = np.take_along_axis(func[step:], func[:-step].astype(np.intp), axis=1)
         step *= 2
+    return func
+
+
+def chunk_functions(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols laid out in chunks, and each chunk as a function of its start state."""
+    chunks = max(-(-len(symbols) // CHUNK), 1)
+    padded = np.concatenate([symbols, np.full(chunks * CHUNK - len(symbols), IDLE, np.uint8)]).reshape(chunks, CHUNK)
+    func = np.tile(np.arange(STATES, dtype=np.uint8), (chunks, 1))
+    flat = TO_STATE.ravel()
+    for k in range(CHUNK):
+        func = flat[padded[:, k, None].astype(np.int32) * STATES + func]
+    return padded, func
+
+
+def _scan(symbols: np.ndarray, start: int) -> np.ndarray:
+    """True where a symbol ends a sentence; chunks are replayed from the states a prefix scan gives them."""
+    padded, func = chunk_functions(symbols)
+    func = prefix_compose(func)
     state = np.concatenate([[start], func[:-1, start]]).astype(np.uint8)
-    emits = np.vstack([EMITS, np.zeros((256 - len(EMITS), 9), bool)])
-    out = np.empty((chunks, CHUNK), bool)
+    out = np.empty(padded.shape, bool)
     for k in range(CHUNK):
-        out[:, k] = emits[padded[:, k], state]
-        state = table[padded[:, k], state]
-    return out.ravel()[:n]
+        out[:, k] = EMITS[padded[:, k], state]
+        state = TO_STATE[padded[:, k], state]
+    return out.ravel()[: len(symbols)]
+
+
+#: Symbols a paragraph may have to be stepped through beside others; longer ones are scanned.
+STEPS = 1024
+
+
+def transduce(symbols: np.ndarray, start: int = START) -> np.ndarray:
+    """True where a symbol ends a sentence.
+
+    A paragraph break leads to one state from all, so paragraphs are chunks whose start is known: they are
+    stepped through side by side. Those of more than ``STEPS`` symbols are cut into chunks and scanned.
+    """
+    n = len(symbols)
+    out = np.zeros(n, bool)
+    begins = np.concatenate([[0], np.flatnonzero(symbols == PARA) + 1])
+    size = np.diff(np.append(begins, n))
+    state = np.full(len(begins), START, np.uint8)
+    state[0] = start
+    for i in np.flatnonzero(size > STEPS):
+        out[begins[i] : begins[i] + size[i]] = _scan(symbols[begins[i] : begins[i] + size[i]], int(state[i]))
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] <= STEPS]
+    begins, size, state = begins[order], size[order], state[order]
+    for k in range(int(size[0]) if len(size) else 0):
+        active = int(np.searchsorted(-size, -k, side="left"))
+        at = begins[:active] + k
+        now = state[:active]
+        out[at] = EMITS[symbols[at], now]
+        state[:active] = TO_STATE[symbols[at], now]
+    return out
+
+
+def whole_function(symbols: np.ndarray) -> np.ndarray:
+    """All symbols together as one function from states to states."""
+    return prefix_compose(chunk_functions(symbols)[1])[-1]
 
 
 # --- reading a text as symbols ----------------------------------------------------------------------
@@ -153,7 +313,10 @@ def _cjk(c: str) -> bool:
 
 def _after(text: str, at: int) -> tuple[str, int]:
     """Class of what follows: P paragraph or end, C closer, O opener, U, l, 9, J, L letters, p other."""
-    end = _SKIP.match(text, at).end()  # type: ignore[union-attr]
+    if text[at : at + 1] == " " and text[at + 1 : at + 2].isalpha():
+        end = at + 1
+    else:
+        end = _SKIP.match(text, at).end()  # type: ignore[union-attr]
     if end == len(text):
         return "P", end
     if end > at + 1 and text.count("\n", at, end) > 1:
@@ -177,223 +340,251 @@ def _after(text: str, at: int) -> tuple[str, int]:
     return "p", end
 
 
-def _small(text: str, at: int) -> bool:
-    """True in a paragraph without a capital letter: there a small letter may open a sentence."""
-    a = text.rfind("\n\n", 0, at)
-    b = text.find("\n\n", at)
-    part = text[a + 1 if a >= 0 else 0 : b if b >= 0 else len(text)]
-    return part.islower()
-
-
-def _token(text: str, at: int) -> str:
-    """The word before a full stop, lower-case, with inner full stops."""
-    piece = text[max(0, at - 24) : at]
-    if not piece or piece[-1].isspace():
-        return ""
-    token = piece.rsplit(None, 1)[-1]
-    if token.isalpha() and token.isascii():
-        return token
-    token = token[max(token.rfind(c) for c in "(\"“„«‘'’[（—–/>") + 1 :]
-    if not token.isascii():
-        token = unicodedata.normalize("NFC", token.replace("­", "").replace("​", ""))
-    return token
-
-
-def _full_stop(text: str, a: int, b: int) -> bool:
-    """Whether the single full stop at a..b ends a sentence outside quotations."""
-    kind, nxt = _after(text, b)
-    if kind in "PCp":
-        return False
-    glued = nxt == b
-    token = _token(text, a)
-    low = token.lower()
-    bare = low.rstrip(".")
-    if glued:
-        if kind in "l9":
-            return False
-        if kind == "U":
-            after = text[nxt + 1 : nxt + 2]
-            return len(bare) > 1 and (after.islower() or after.isspace()) and "." not in bare.replace("...", "") and bare not in NEVER and bare not in SOMETIMES and not (bare.isalpha() and len(bare) < 3 and bare not in OFTEN)
-        if kind == "L":
-            return len(bare) > 2 and bare not in NEVER and not ("ก" <= text[nxt] <= "๿")
-        return kind == "O" and len(bare) > 1 and bare not in NEVER
-    if kind == "l":
-        return len(bare) > 1 and bare not in NEVER and bare not in OFTEN and bare not in SOMETIMES and bare not in COUNTRIES and bare not in MONTHS and not bare.isdigit() and "." not in bare and _small(text, a)
-    if not token:
-        return kind != "J"
-    if low in ("m", "p", "a"):  # "a. m." and "p. m." of some languages
-        tail = text[max(0, a - 5) : a].lower()
-        if re.search(r"\b[ap]\.\s?m$", tail):
-            return True
-    if low == "uu":
-        return kind in "UO9" and _next_word(text, nxt) not in QUALIFIED
-    if low == "v" and re.search(r"\be\.\s?V$", text[max(0, a - 5) : a]):
-        return kind == "U" and _next_word(text, nxt) in FIRST_WORDS
-    if len(bare) == 1 and bare.isalpha():
-        return False
-    if bare in NEVER:
-        # "no." is a word when small, and a number's sign only before a number
-        if token in ("no", "No"):
-            return kind != "9"
-        return token in ("est", "par", "min", "max") and kind in "UO"
-    if bare in MONTHS:
-        return kind in "UO" and (kind == "O" or _next_word(text, nxt) in FIRST_WORDS)
-    if bare in OFTEN:
-        if bare in ("a.m", "p.m") and kind == "U":
-            return not _HOUR.search(text[max(0, a - 28) : a])
-        return True
-    if bare in COUNTRIES:
-        return kind != "U" or _next_word(text, nxt) not in QUALIFIED
-    if bare in SOMETIMES:
-        return kind in "O9" or (kind == "U" and _next_word(text, nxt) in FIRST_WORDS)
-    if bare.isdigit() and len(bare) <= 2 and kind == "U":
-        return not (_ORDINAL.search(text[max(0, a - 16) : a]) or _MONTH_DE.match(text, nxt))
-    return True
-
-
-def _next_word(text: str, at: int) -> str:
-    m = _WORD.match(text, at)
-    return m.group().lower() if m else ""
-
-
-def _mark(text: str, a: int, b: int) -> bool:
-    run = text[a:b]
-    if run == ".":
-        return _full_stop(text, a, b)
-    kind, nxt = _after(text, b)
-    if kind in "PCp":
-        return False
-    if "!" in run or "?" in run or run == ";" or run[-1] in STRONG:
-        if kind == "l":
-            return nxt > b and _small(text, a)
-        return True
-    # three points
-    if kind in "lJ":
-        return False
-    return nxt > b or kind in "UO"
-
-
-def _ended_before(text: str, at: int) -> bool:
-    """Whether the last character before ``at``, closers, blanks and tags apart, is a final mark."""
-    while at > 0:
-        c = text[at - 1]
-        if c in TERMINAL:
-            return True
-        if c == ";" and at > 1 and "Ͱ" <= text[at - 2] <= "Ͽ":
-            return True
-        if c == ">":
-            m = text.rfind("<", 0, at)
-            if m < 0 or at - m > 40:
-                return False
-            at = m
-        elif c.isspace() or c in CLOSERS or c in "\"'" or "​" <= c <= "‏" or c == "­":
-            at -= 1
-        else:
-            return False
-    return False
-
-
-def _closing(text: str, at: int, b: int, none: int, end: int, maybe: int) -> int:
-    if not _ended_before(text, at):
-        return none
-    kind, nxt = _after(text, b)
-    if kind in "U9O":
-        return end
-    if kind in "JL":
-        return none if text[at] == "」" and text[nxt] in "とっがはをのにでもへや" else maybe
-    return none
-
-
 _CLOSE_TAGS = re.compile(r"(?:</[a-zA-Z][^<>]*>)+")
+_OPENERS = "(\"“„«‘'’[（—–/>"
+_BREAK = re.compile(rf"\s|[{re.escape(_OPENERS)}]")
 
 
-class _Reader:
-    """Turns one text into symbols; knows the quotes that are open in the present paragraph."""
+class Lexer:
+    """Reads ``text[first:last]`` as symbols; what lies around it is looked at, not read.
 
-    def __init__(self, text: str):
-        self.text, self.size = text, len(text)
+    ``small``: whether the paragraphs that the range begins and ends in have no capital letter, where they
+    reach beyond ``text``.
+    """
+
+    def __init__(self, text: str, first: int = 0, last: int | None = None, small: tuple[bool | None, bool | None] = (None, None)):
+        self.text, self.first, self.size = text, first, len(text) if last is None else last
+        self.small_edges = small
         self.symbols: list[int] = []
         self.places: list[int] = []
-        self.last = self.skip = 0
-        self.low_double = self.low_single = False
-        self.datelines = {m.start(): m.end() for m in _DATELINE.finditer(text)} if "—" in text or "–" in text else {}
+        self.read_to = self.skip = first
+        self.dot = -1  # end of the last mark
+        self.paragraph = (0, -1, False)
+        dashes = "—" in text or "–" in text
+        self.datelines = {m.start(): m.end() for m in _DATELINE.finditer(text)} if dashes else {}
         for s, e in self.datelines.items():
-            if not text[:s].strip():
-                self.skip = self.last = e
-
-    def add(self, symbol: int, place: int) -> None:
+            if first == 0 and not text[:s].strip():
+                self._dateline(e)
+
+    @cached_property
+    def hours(self) -> set[int]:
+        return {m.end() for m in _HOUR.finditer(self.text) if self._opens(m.start())}
+
+    @cached_property
+    def ordinals(self) -> set[int]:
+        return {m.end() for m in _ORDINAL.finditer(self.text)}
+
+    def _opens(self, at: int) -> bool:
+        """Whether nothing but blanks lies between ``at`` and a final mark, a closer or the text's start."""
+        before = self.text[:at].rstrip() if at < 64 else self.text[at - 64 : at].rstrip()
+        return not before or before[-1] in ".!?…”\"’')»—" or self.text[len(before) + max(at - 64, 0) : at].count("\n") > 0
+
+    def _dateline(self, end: int) -> None:
+        self.symbols.append(DATELINE)
+        self.places.append(end)
+        self.skip = self.read_to = end
+
+    def add(self, symbol: int, begin: int, end: int, place: int) -> None:
+        """A symbol at begin..end, after FILL if anything but blanks, closers and tags lies before it."""
+        if begin > self.read_to and (self.text[begin - 1].isalnum() or _GAP.match(self.text, self.read_to, begin).end() < begin):  # type: ignore[union-attr]
+            self.symbols.append(FILL)
+            self.places.append(begin)
         self.symbols.append(symbol)
         self.places.append(place)
-        self.last = place
+        self.read_to = end
+
+    def small(self, at: int) -> bool:
+        """True in a paragraph without a capital letter: there a small letter may open a sentence."""
+        a, b, said = self.paragraph
+        if not a <= at < b:
+            a = self.text.rfind("\n\n", 0, at) + 1
+            b = self.text.find("\n\n", at)
+            head, tail = self.small_edges
+            if a == 0 and head is not None:
+                said = head
+            elif b < 0 and tail is not None:
+                said = tail
+            else:
+                said = self.text[a : b if b >= 0 else len(self.text)].islower()
+            self.paragraph = (a, b if b >= 0 else len(self.text) + 1, said)
+        return said
+
+    # --- marks
+    def left(self, a: int) -> str:
+        """Class of the word before a full stop at ``a``."""
+        text = self.text
+        if a == 0 or text[a - 1].isspace():
+            return "none"
+        low = max(0, a - LONGEST - 1)
+        piece = text[low:a]
+        token = piece.rsplit(None, 1)[-1]
+        if token.isascii() and token.isalpha():
+            if len(token) > LONGEST_PLAIN:
+                return "word"
+        else:
+            token = token[max(map(token.rfind, _OPENERS)) + 1 :]
+            if not token:
+                return "none"
+        cut_at = len(piece) - len(token)
+        if cut_at == 0 and low > 0:  # longer than any abbreviation
+            return "dotted" if self.dot > 0 and not _BREAK.search(text, self.dot, a) else "number" if token.isdigit() else "word"
+        if not token.isascii():
+            token = unicodedata.normalize("NFC", token.replace("­", "").replace("​", ""))
+        bare = token.lower().rstrip(".")
+        if bare in ("no",):
+            return "no" if token in ("no", "No") else "never"
+        if len(bare) <= 2 and bare in ("m", "uu", "v"):
+            before = text[max(0, low + cut_at - 4) : low + cut_at]
+            if bare == "m" and re.search(r"(?<!\w)[aApP]\.\s$", before):
+                return "half hour" if a in self.hours else "half apart"
+            if bare == "uu":
+                return "states apart"
+            if token == "V" and re.search(r"(?<!\w)e\.\s$", before):
+                return "union apart"
+        known = ABBREVIATIONS.get(bare)
+        if known == "half" and a in self.hours:
+            return "half hour"
+        if known == "can":
+            return "can" if token in ("est", "par", "min", "max") else "never"
+        if len(bare) == 1 and bare.isalpha():
+            return "one"
+        if known:
+            return known
+        if bare.isdigit():
+            return "number" if len(bare) > 2 else "ordinal" if a in self.ordinals else "digit" if len(bare) == 1 else "digits"
+        if "." in bare.replace("...", ""):
+            return "dotted"
+        return "two" if len(bare) == 2 and bare.isalpha() else "word" if bare else "none"
+
+    def right(self, b: int, capital_word: bool) -> str:
+        text = self.text
+        kind, nxt = _after(text, b)
+        if nxt == b:
+            if kind == "U":
+                after = text[nxt + 1 : nxt + 2]
+                return "+U" if after.islower() or after.isspace() else "+X"
+            return "+T" if kind == "L" and "ก" <= text[nxt] <= "๿" else "+" + kind
+        if kind == "l":
+            return "s" if self.small(nxt) else "l"
+        if kind == "U" and capital_word:
+            word = _WORD.match(text, nxt)
+            said = word.group().lower() if word else ""
+            return "Q" if said in QUALIFIED else "G" if said in GERMAN_MONTHS else "U"
+        return kind
 
+    def mark(self, a: int) -> None:
+        text, b = self.text, a + 1
+        while b < len(text) and text[b] in TERMINAL:
+            b += 1
+        run = text[a:b]
+        if run == ".":
+            left = self.left(a)
+        else:
+            left = "strong" if "!" in run or "?" in run or run == ";" or run[-1] in STRONG else "points"
+        self.skip = b
+        self.finish(a, b, left)
+
+    def finish(self, a: int, b: int, left: str) -> None:
+        self.dot = b
+        if ENDS[LEFT[left]][RIGHT[self.right(b, True)]]:
+            t = _CLOSE_TAGS.match(self.text, b) if self.text.startswith("</", b) else None
+            end = t.end() if t else b
+            self.add(END, a, end, end)
+        else:
+            self.add(MARK, a, b, b)
+
+    # --- layout
     def newline(self, a: int) -> None:
         """A blank line, or a line break before a list or clock line, ends a paragraph; others are blanks."""
         blank = _BLANK_LINE.match(self.text, a)
         if blank:
-            b = blank.end()
-            self.skip = b
+            b = self.skip = blank.end()
         elif _LIST_LINE.match(self.text, a) or _CLOCK_LINE.match(self.text, a):
             b = a + 1
         else:
             return
-        self.add(PARA, a)
-        self.last = b
-        self.low_double = self.low_single = False
+        self.add(PARA, a, b, a)
         if b in self.datelines:
-            self.skip = self.last = self.datelines[b]
-
-    def mark(self, a: int) -> None:
-        text, b = self.text, a + 1
-        while b < self.size and text[b] in TERMINAL:
-            b += 1
-        self.skip = b
-        if _mark(text, a, b):
-            t = _CLOSE_TAGS.match(text, b) if text.startswith("</", b) else None
-            self.add(END, t.end() if t else b)
-
-    def fresh(self, a: int) -> bool:
-        gap = self.text[self.last : a]
-        return not gap or gap.isspace()
+            self._dateline(self.datelines[b])
+
+    # --- quotes and brackets
+    def follows(self, b: int, a: int) -> str:
+        """What follows a closing mark: E a sentence may begin, M perhaps, N it goes on."""
+        kind, nxt = _after(self.text, b)
+        if kind in "U9O":
+            return "E"
+        if kind in "JL":
+            return "N" if self.text[a] == "」" and self.text[nxt] in "とっがはをのにでもへや" else "M"
+        return "N"
 
     def double(self, a: int, c: str) -> None:
         text = self.text
         if c == "„":
-            opening = self.low_double = True
+            name = "low double"
         elif c == "“":
-            opening, self.low_double = not self.low_double, False
+            name = f"high {self.follows(a + 1, a)}"
         elif c == '"':
             before = text[a - 1] if a else " "
             opening = before.isspace() or (before in "([—–>" and not text.startswith("</", text.rfind("<", 0, a)))
+            name = "double" if opening else f"double close {self.follows(a + 1, a)}"
         else:
-            opening = c in "«「"
-        self.add((OD0 if self.fresh(a) else OD1) if opening else _closing(text, a, a + 1, CDN, CDE, CDM), a + 1)
+            name = "double" if c in "«「" else f"double close {self.follows(a + 1, a)}"
+        self.add(SYM[name], a, a + 1, a + 1)
 
     def single(self, a: int, c: str) -> None:
         text = self.text
         inside_word = a > 0 and (text[a - 1].isalnum() or text[a - 1] == "_")
-        word_after = a + 1 < self.size and (text[a + 1].isalnum() or text[a + 1] == "_")
+        word_after = a + 1 < len(text) and (text[a + 1].isalnum() or text[a + 1] == "_")
         if c != "’" and not inside_word and word_after:
-            opening = c == "‚" or not (c == "‘" and self.low_single)
-            self.low_single = c == "‚"
+            name = "low single" if c == "‚" else f"six {self.follows(a + 1, a)}" if c == "‘" else "single"
         elif c != "‚" and not word_after:
-            opening = False
+            name = f"single close {self.follows(a + 1, a)}"
         else:
             return  # an apostrophe
-        self.add((OS0 if self.fresh(a) else OS1) if opening else _closing(text, a, a + 1, CSN, CSE, CSM), a + 1)
+        self.add(SYM[name], a, a + 1, a + 1)
 
     def bracket(self, a: int, c: str) -> None:
-        if c in "([（［":
-            self.add(BO0 if self.fresh(a) else BO1, a + 1)
-        else:
-            self.add(_closing(self.text, a, a + 1, BCN, BCE, BCE), a + 1)
+        name = "bracket" if c in "([（［" else "bracket close N" if self.follows(a + 1, a) == "N" else "bracket close E"
+        self.add(SYM[name], a, a + 1, a + 1)
 
     def title(self, a: int, c: str) -> None:
-        self.add(TO if c in "『《〈【" else TC, a + 1)
+        self.add(SYM["title" if c in "『《〈【" else "title close"], a, a + 1, a + 1)
 
     def question(self, a: int) -> None:
         """The Greek question mark."""
-        if a and ("Ͱ" <= self.text[a - 1] <= "Ͽ" or "ἀ" <= self.text[a - 1] <= "῿") and _mark(self.text, a, a + 1):
-            self.add(END, a + 1)
+        if a and ("Ͱ" <= self.text[a - 1] <= "Ͽ" or "ἀ" <= self.text[a - 1] <= "῿"):
+            self.finish(a, a + 1, "strong")
+
+    def read(self) -> tuple[list[int], list[int]]:
+        """Symbols of the range, and the position, end exclusive, at which each would end a sentence."""
+        text, first, last = self.text, self.first, self.size
+        extra = [(m.start(), END) for m in _THAI.finditer(text)] if any("ก" <= c <= "๏" for c in set(text)) else []
+        extra = sorted(((p, s) for p, s in extra + [(m.end(), PARA) for m in _CLOCK.finditer(text)] if first <= p < last or p == len(text)), reverse=True)
+        for m in _CANDIDATE.finditer(text, first, last):
+            a = m.start()
+            while extra and extra[-1][0] <= a:
+                at, symbol = extra.pop()
+                if at >= self.skip and not (symbol == PARA and at == a and text[a] == "\n" and _BLANK_LINE.match(text, a)):
+                    self.add(symbol, at, at, at)
+            if a < self.skip:
+                continue
+            c = text[a]
+            kind = _KIND.get(c)
+            if kind == "mark":
+                self.mark(a)
+            elif kind == "newline":
+                self.newline(a)
+            elif kind == "question":
+                self.question(a)
+            elif kind is not None:
+                getattr(self, kind)(a, c)
+        for at, symbol in reversed(extra):
+            if at >= self.skip:
+                self.add(symbol, at, at, at)
+        if self.read_to < last and _GAP.match(text, self.read_to, last).end() < last:  # type: ignore[union-attr]
+            self.symbols.append(FILL)
+            self.places.append(last)
+        return self.symbols, self.places
 
 
 _KIND = {c: "mark" for c in TERMINAL} | {c: "double" for c in '"“”„«»「」'} | {c: "single" for c in "'‘’‚"} | {c: "bracket" for c in "()[]（）［］"}
@@ -401,33 +592,19 @@ _KIND |= {c: "title" for c in "『』《》〈〉【】"} | {"\n": "newline", ";
 
 
 def read(text: str) -> tuple[list[int], list[int]]:
-    """Symbols of a text and the position, end exclusive, at which each would end a sentence."""
-    r = _Reader(text)
-    kind = _KIND.get
-    extra = [(m.start(), END) for m in _THAI.finditer(text)] if any("ก" <= c <= "๏" for c in set(text)) else []
-    extra = sorted(extra + [(m.end(), PARA) for m in _CLOCK.finditer(text)], reverse=True)
-    for m in _CANDIDATE.finditer(text):
-        a = m.start()
-        while extra and extra[-1][0] <= a:
-            at, symbol = extra.pop()
-            if at >= r.skip and not (symbol == PARA and at == a and text[a] == "\n" and _BLANK_LINE.match(text, a)):
-                r.add(symbol, at)
-        if a < r.skip:
-            continue
-        c = text[a]
-        k = kind(c)
-        if k == "mark":
-            r.mark(a)
-        elif k == "newline":
-            r.newline(a)
-        elif k == "question":
-            r.question(a)
-        elif k is not None:
-            getattr(r, k)(a, c)
-    for at, symbol in reversed(extra):
-        if at >= r.skip:
-            r.add(symbol, at)
-    return r.symbols, r.places
+    return Lexer(text).read()
+
+
+def _spans(text: str, cuts: list[int], first: int, last: int) -> list[tuple[int, int]]:
+    """Between cuts, the stretches of ``text[first:last]`` without blanks around; the last may be open."""
+    spans, at = [], first
+    for c in [*cuts, last]:
+        piece = text[at:c]
+        body = piece.strip()
+        start = at + len(piece) - len(piece.lstrip()) if body else at
+        spans.append((start, start + len(body)))
+        at = max(at, c)
+    return spans
 
 
 def split(texts: list[str]) -> list[np.ndarray]:
@@ -442,29 +619,130 @@ def split(texts: list[str]) -> list[np.ndarray]:
     ends = transduce(np.array(symbols, np.uint8))
     out, k = [], 0
     for t, p in zip(texts, places, strict=True):
-        cuts = np.array(p, np.int64)[ends[k : k + len(p)]]
+        cuts = np.array(p, np.int64)[ends[k : k + len(p)]].tolist()
         k += len(p)
-        spans, at = [], 0
-        for c in cuts.tolist():
-            piece = t[at:c]
-            body = piece.strip()
-            if body:
-                start = at + len(piece) - len(piece.lstrip())
-                spans.append((start, start + len(body)))
-            at = max(at, c)
-        out.append(np.array(spans, np.int64).reshape(-1, 2))
+        out.append(np.array([s for s in _spans(t, cuts, 0, len(t)) if s[1] > s[0]], np.int64).reshape(-1, 2))
     return out
 
 
+# --- long documents in pieces -------------------------------------------------------------------------
+#: Documents longer than this are cut into pieces of at least this many characters.
+LONG = 200_000
+#: Characters of its surroundings a piece brings along.
+PAD = 64
+_SAFE = (
+    re.compile(r"\n[^\S\n]*\n\s*(?=\S)"),
+    re.compile(r"[^\W\d_]{4,}[ ](?=[^\W\d_]{4,}[ ][^\W\d_]{4,}[ ])"),
+    re.compile(r"[぀-ヿ㐀-鿿]{3}(?=[぀-ヿ㐀-鿿]{3})"),
+)
+
+
+def piece_bounds(text: str, size: int) -> list[int]:
+    """Where a text is cut: 0, places across which no rule looks, about ``size`` apart, and its length."""
+    out = [0]
+    while len(text) - out[-1] > 2 * size:
+        near = out[-1] + size
+        found = [m.end() for m in (r.search(text, near, near + size) for r in _SAFE) if m]
+        if not found:
+            found = [m.end() for m in (r.search(text, near) for r in _SAFE) if m]
+        if not found:
+            break
+        out.append(found[0])
+    return [*out, len(text)]
+
+
+def pieces(doc: int, text: str, size: int) -> pd.DataFrame:
+    bounds = piece_bounds(text, size)
+    rows = []
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        low, high = max(0, a - PAD), min(len(text), b + PAD)
+        edges = []
+        for at in (a, b):
+            p, q = text.rfind("\n\n", 0, at) + 1, text.find("\n\n", at)
+            edges.append(text[p : q if q >= 0 else len(text)].islower())
+        rows.append((doc, k, low, a - low, b - low, edges[0], edges[1], text[low:high], b == len(text)))
+    return pd.DataFrame(rows, columns=PIECE_COLUMNS)
+
+
+PIECE = "doc_id long, k int, low long, first int, last int, head boolean, tail boolean, piece string, final boolean"
+PIECE_COLUMNS = ["doc_id", "k", "low", "first", "last", "head", "tail", "piece", "final"]
+
+
+def _piece_symbols(r) -> tuple[list[int], list[int]]:
+    head = None if r.low == 0 and r.first == 0 else bool(r.head)
+    tail = None if r.final else bool(r.tail)
+    symbols, places = Lexer(r.piece, r.first, r.last, (head, tail)).read()
+    return (symbols + [PARA], places + [r.last]) if r.final else (symbols, places)
+
+
+def _cut_pieces(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, t in zip(pdf["id"], pdf["t"], strict=True):
+                yield pieces(int(i), t, size)
+
+    return run
+
+
+def _functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        f = [whole_function(np.array(_piece_symbols(r)[0], np.uint8)).tobytes() for r in pdf.itertuples()]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "k": pdf["k"].to_numpy(), "f": np.array(f, object)})
+
+
+def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Start states of a document's pieces: the functions of the pieces before composed by prefix scan."""
+    pdf = pdf.sort_values("k")
+    func = prefix_compose(np.stack([np.frombuffer(f, np.uint8) for f in pdf["f"]]))
+    return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "k": pdf["k"].to_numpy(), "state": np.concatenate([[START], func[:-1, START]]).astype(np.int32)})
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per piece its stretches between ends; the first and the last may belong to sentences of its neighbours."""
+    for pdf in batches:
+        for r in pdf.itertuples():
+            symbols, places = _piece_symbols(r)
+            ends = transduce(np.array(symbols, np.uint8), int(r.state))
+            cuts = np.array(places, np.int64)[ends].tolist()
+            spans = np.array(_spans(r.piece, cuts, r.first, r.last), np.int64) + int(r.low)
+            n = len(spans)
+            order = np.arange(n)
+            yield pd.DataFrame({"doc_id": np.full(n, r.doc_id), "k": np.full(n, r.k, np.int32), "start_pos": spans[:, 0], "end_pos": spans[:, 1], "edge": (order == 0) | (order == n - 1), "opens": order > 0})
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Stretches at the edges of pieces put together: one begins where ``opens``, the others go on."""
+    pdf = pdf.sort_values(["k", "start_pos", "opens"], kind="stable")
+    which = pdf["opens"].to_numpy().cumsum()
+    some = pdf["end_pos"].to_numpy() > pdf["start_pos"].to_numpy()
+    g = pdf[some].groupby(which[some])
+    return pd.DataFrame({"doc_id": g["doc_id"].first().to_numpy(), "start_pos": g["start_pos"].min().to_numpy(), "end_pos": g["end_pos"].max().to_numpy()})
+
+
+SPAN = "doc_id long, start_pos long, end_pos long"
+
+
+def long_sentences(docs: DataFrame, size: int) -> DataFrame:
+    """Sentences of ``id, t``, each document cut into pieces that different tasks read."""
+    work = cut(docs.mapInPandas(_cut_pieces(size), PIECE).repartition("doc_id", "k"), "pieces")
+    starts = work.mapInPandas(_functions, "doc_id long, k int, f binary").groupBy("doc_id").applyInPandas(_starts, "doc_id long, k int, state int")
+    told = work.join(starts, ["doc_id", "k"]).mapInPandas(_replay, SPAN.replace("long, start", "long, k int, start") + ", edge boolean, opens boolean")
+    told = cut(told, "stretches")
+    inner = told.filter("not edge and end_pos > start_pos").select("doc_id", "start_pos", "end_pos")
+    return inner.union(told.filter("edge").groupBy("doc_id").applyInPandas(_joined, SPAN))
+
+
 #: Characters handled together.
 BATCH_CHARS = 1_000_000
 
 
-def sentences(docs: DataFrame, did: str, text: str) -> DataFrame:
+def sentences(docs: DataFrame, did: str, text: str, long: int = LONG) -> DataFrame:
     """``doc_id, start_pos, end_pos``: one row per sentence, positions in code points, end exclusive.
 
     Whole texts, whatever their length. Repeated rows count once; null ids are left out; null, empty
-    and blank texts have no sentence. Columns beside the two named do not matter.
+    and blank texts have no sentence. Columns beside the two named do not matter. Rows of one id with
+    different texts give the sentences of each. ``long``: characters beyond which a document is cut into
+    pieces that go to different tasks; the result does not depend on it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -489,4 +767,12 @@ def sentences(docs: DataFrame, did: str, text: str) -> DataFrame:
                 yield emit(ids, texts)
 
     one = docs.filter(F.col(did).isNotNull() & F.col(text).isNotNull()).select(F.col(did).cast("long").alias("id"), F.col(text).alias("t"))
-    return one.mapInPandas(run, "doc_id long, start_pos long, end_pos long").distinct()
+    short = one.filter(F.length("t") <= long).mapInPandas(run, SPAN)
+    far = one.filter(F.length("t") > long)
+    if far.isEmpty():
+        return short.distinct()
+    # a long text given twice is read once; texts that share an id are kept apart while they are in pieces
+    far = far.distinct().withColumn("_own", F.xxhash64("id", "t"))
+    names = far.select(F.col("_own").alias("doc_id"), "id").distinct()
+    found = long_sentences(far.select(F.col("_own").alias("id"), "t"), long // 2).join(names, "doc_id").select(F.col("id").alias("doc_id"), "start_pos", "end_pos")
+    return reduce(DataFrame.union, [short, found]).distinct()
