@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cached_property, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -77,8 +77,11 @@ _CLOCK_LINE = re.compile(r"\n[^\S\n]*\d{1,2}[.:]\d\d(?:[ ][A-Z]{2,5})?[^\S\n]*(?
 _THAI = re.compile(r"(?<=[ก-๏])\s+(?=[ก-๏])")
 _DATELINE = re.compile(r"(?<![^\n])[^\S\n]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ'’ .\-]{2,40}(?:,[^—–\n(]{0,30})?(?:\s*\([^)\n]{1,30}\))?\s*[—–]\s")
 _CLOCK = re.compile(r"(?<![^\n])[^\S\n]*\d{1,2}[.:]\d\d(?: [A-Z]{2,5})?[^\S\n]*(?=\n)")
-_ORDINAL = re.compile(r"(?<!\w)(?:[Aa]m|[Ii]m|[Vv]om|[Zz]um|[Dd]em|[Dd]en|[Dd]er|[Dd]ie|[Dd]as|[Dd]es|[Bb]eim|[Bb]is|[Aa]b|[Ss]eit)\s+\d{1,2}(?=\.)")
-_HOUR = re.compile(r"(?<!\w)(?:At|By|Around|About|Until|From|Before|After|Since)\s+\d{1,2}(?:[.:]\d\d)?\s+[ap]\.\s?m(?=\.)")
+#: Words before the number of a day or another ordinal ("am 7. Mai"), in small letters or opening a sentence.
+BEFORE_ORDINAL = frozenset(w for x in "am im vom zum dem den der die das des beim bis ab seit".split() for w in (x, x.capitalize()))
+#: Words that open a sentence with an hour ("At 8 p.m. the ...").
+BEFORE_HOUR = frozenset("At By Around About Until From Before After Since".split())
+_CLOCK_NUMBER = re.compile(r"\d{1,2}(?:[.:]\d\d)?")
 GERMAN_MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -129,6 +132,8 @@ def _compile_rules() -> np.ndarray:
 
 
 ENDS = _compile_rules().tolist()
+#: Of each class: what a plain capital says, or None where the word it begins matters.
+CAPITAL = {name: ENDS[i][RIGHT["U"]] if ENDS[i][RIGHT["U"]] == ENDS[i][RIGHT["Q"]] == ENDS[i][RIGHT["G"]] else None for name, i in LEFT.items()}
 ABBREVIATIONS = (
     dict.fromkeys(SOMETIMES, "sometimes") | dict.fromkeys(COUNTRIES, "country") | dict.fromkeys(OFTEN, "often") | {"a.m": "half", "p.m": "half"}
     | dict.fromkeys(MONTHS, "month") | dict.fromkeys(NEVER, "never") | {"est": "can", "par": "can", "min": "can", "max": "can"}
@@ -366,18 +371,31 @@ class Lexer:
             if first == 0 and not text[:s].strip():
                 self._dateline(e)
 
-    @cached_property
-    def hours(self) -> set[int]:
-        return {m.end() for m in _HOUR.finditer(self.text) if self._opens(m.start())}
-
-    @cached_property
-    def ordinals(self) -> set[int]:
-        return {m.end() for m in _ORDINAL.finditer(self.text)}
-
-    def _opens(self, at: int) -> bool:
-        """Whether nothing but blanks lies between ``at`` and a final mark, a closer or the text's start."""
-        before = self.text[:at].rstrip() if at < 64 else self.text[at - 64 : at].rstrip()
-        return not before or before[-1] in ".!?…”\"’')»—" or self.text[len(before) + max(at - 64, 0) : at].count("\n") > 0
+    def _before(self, at: int, marks: str = "_") -> tuple[str, int]:
+        """The word or number that ends, but for blanks, at ``at`` ('' if none, or longer than any that matters), and its start."""
+        text, end = self.text, at
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        begin = end
+        while begin > 0 and end - begin < 8 and (text[begin - 1].isalnum() or text[begin - 1] in marks):
+            begin -= 1
+        return ("" if end == at or end - begin == 8 else text[begin:end]), begin
+
+    def hour(self, at: int) -> bool:
+        """Whether the "p.m" that begins at ``at`` belongs to an hour that opens a sentence."""
+        number, at = self._before(at, "_.:")
+        if not _CLOCK_NUMBER.fullmatch(number):
+            return False
+        word, at = self._before(at)
+        if word not in BEFORE_HOUR:
+            return False
+        # nothing but blanks between it and a final mark, a closer, a line break or the text's start
+        text, end = self.text, at
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+            if text[end] == "\n":
+                return True
+        return end == 0 or text[end - 1] in ".!?…”\"’')»—"
 
     def _dateline(self, end: int) -> None:
         self.symbols.append(DATELINE)
@@ -415,6 +433,8 @@ class Lexer:
         text = self.text
         if a == 0 or text[a - 1].isspace():
             return "none"
+        if a > LONGEST_PLAIN and (tail := text[a - LONGEST_PLAIN - 1 : a]).isascii() and tail.isalpha():
+            return "word"
         low = max(0, a - LONGEST - 1)
         piece = text[low:a]
         token = piece.rsplit(None, 1)[-1]
@@ -436,13 +456,13 @@ class Lexer:
         if len(bare) <= 2 and bare in ("m", "uu", "v"):
             before = text[max(0, low + cut_at - 4) : low + cut_at]
             if bare == "m" and re.search(r"(?<!\w)[aApP]\.\s$", before):
-                return "half hour" if a in self.hours else "half apart"
+                return "half hour" if self.hour(low + cut_at - 3) else "half apart"
             if bare == "uu":
                 return "states apart"
             if token == "V" and re.search(r"(?<!\w)e\.\s$", before):
                 return "union apart"
         known = ABBREVIATIONS.get(bare)
-        if known == "half" and a in self.hours:
+        if known == "half" and self.hour(low + cut_at):
             return "half hour"
         if known == "can":
             return "can" if token in ("est", "par", "min", "max") else "never"
@@ -451,7 +471,7 @@ class Lexer:
         if known:
             return known
         if bare.isdigit():
-            return "number" if len(bare) > 2 else "ordinal" if a in self.ordinals else "digit" if len(bare) == 1 else "digits"
+            return "number" if len(bare) > 2 else "ordinal" if self._before(low + cut_at)[0] in BEFORE_ORDINAL else "digit" if len(bare) == 1 else "digits"
         if "." in bare.replace("...", ""):
             return "dotted"
         return "two" if len(bare) == 2 and bare.isalpha() else "word" if bare else "none"
@@ -474,6 +494,23 @@ class Lexer:
 
     def mark(self, a: int) -> None:
         text, b = self.text, a + 1
+        c = text[b : b + 1]
+        if c == " " and text[a] == ".":  # by far the commonest case, without the detours
+            left = self.left(a)
+            said = CAPITAL[left]
+            if said is not None and text[b + 1 : b + 2].isupper():
+                self.skip = self.dot = b
+                if self.read_to < a:
+                    if not (text[a - 1].isalnum() or _GAP.match(text, self.read_to, a).end() < a):  # type: ignore[union-attr]
+                        return self.add(END if said else MARK, a, b, b)
+                    self.symbols.append(FILL)
+                    self.places.append(a)
+                self.symbols.append(END if said else MARK)
+                self.places.append(b)
+                self.read_to = b
+                return None
+            self.skip = b
+            return self.finish(a, b, left)
         while b < len(text) and text[b] in TERMINAL:
             b += 1
         run = text[a:b]
@@ -482,11 +519,11 @@ class Lexer:
         else:
             left = "strong" if "!" in run or "?" in run or run == ";" or run[-1] in STRONG else "points"
         self.skip = b
-        self.finish(a, b, left)
+        return self.finish(a, b, left)
 
     def finish(self, a: int, b: int, left: str) -> None:
         self.dot = b
-        if ENDS[LEFT[left]][RIGHT[self.right(b, True)]]:
+        if ENDS[LEFT[left]][RIGHT[self.right(b, CAPITAL[left] is None)]]:
             t = _CLOSE_TAGS.match(self.text, b) if self.text.startswith("</", b) else None
             end = t.end() if t else b
             self.add(END, a, end, end)
@@ -560,6 +597,7 @@ class Lexer:
         text, first, last = self.text, self.first, self.size
         extra = [(m.start(), END) for m in _THAI.finditer(text)] if any("ก" <= c <= "๏" for c in set(text)) else []
         extra = sorted(((p, s) for p, s in extra + [(m.end(), PARA) for m in _CLOCK.finditer(text)] if first <= p < last or p == len(text)), reverse=True)
+        kinds = _KIND.get
         for m in _CANDIDATE.finditer(text, first, last):
             a = m.start()
             while extra and extra[-1][0] <= a:
@@ -569,7 +607,7 @@ class Lexer:
             if a < self.skip:
                 continue
             c = text[a]
-            kind = _KIND.get(c)
+            kind = kinds(c)
             if kind == "mark":
                 self.mark(a)
             elif kind == "newline":
