@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def parse_rules(spark: SparkSession, site: str, text: str) -> DataFrame:
-    """``site, agent, kind, prefix``; agents named together share the rules below them."""
-    rows, agents, closed = [], [], False
-    for raw in text.splitlines():
-        name, colon, value = raw.split("#")[0].partition(":")
-        name, value = name.strip().lower(), value.strip()
-        if not colon:
-            continue
-        if name == "user-agent":
-            agents, closed = ([], False) if closed else (agents, closed)
-            agents.append(value.lower())
-            rows.append((site, value.lower(), None, None))
-        elif name in ("allow", "disallow") and agents:
-            closed = True
-            rows += [(site, a, name, value) for a in agents]
-    return spark.createDataFrame(rows, "site string, agent string, kind string, prefix string")
+def rules(files: DataFrame) -> DataFrame:
+    """``site, agent, kind, prefix`` of robots files (site, text): agents named together share the rules below them.
+
+    Files become a table of directives. A naming line after a rule begins a new section; rules of a
+    section go to all agents it names, rules before any section to none. An agent without rules has one
+    row with null ``kind``. Lines that are no directive do not matter; a null text has no rules.
+    """
+    lines = files.select("site", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("at", "line")).withColumn("line", F.substring_index("line", "#", 1))
+    said = lines.filter(F.col("line").contains(":")).select(
+        "site", "at", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("word"), F.trim(F.regexp_extract("line", r"(?s)^[^:]*:(.*)$", 1)).alias("value")
+    ).filter(F.col("word").isin("user-agent", "allow", "disallow"))
+    order = Window.partitionBy("site").orderBy("at")  # one site's file
+    names = F.col("word") == "user-agent"
+    begins = names & F.coalesce(F.lag("word").over(order) != "user-agent", F.lit(True))
+    said = said.withColumn("section", F.sum(begins.cast("int")).over(order)).filter("section > 0")
+    agents = said.filter(names).select("site", "section", F.lower("value").alias("agent")).distinct()
+    told = said.filter(~names).select("site", "section", F.col("word").alias("kind"), F.col("value").alias("prefix"))
+    return agents.join(told, ["site", "section"], "left").select("site", "agent", "kind", "prefix")
 
 
 def decisions(rules: DataFrame, requests: DataFrame) -> DataFrame:

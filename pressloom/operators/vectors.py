@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import text as T
+from pressloom.operators import similarity
 
 DIMENSIONS = 512
 
@@ -45,11 +46,9 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def nearest_centroid(vectors: DataFrame, vid: str, vector: str, centres: DataFrame) -> DataFrame:
     """``id, g, similarity``: for each vector the nearest centroid (ties to the lesser group).
 
-    Centroids in long form are gathered to one array each; there are as many as groups, and they are
-    broadcast only if Spark's own size limit allows.
+    Centroids in long form are gathered to one array each and met by matrix products.
     """
     dense = centres.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("c"))
-    sim = T.cosine(F.col(vector), F.col("c"))
-    pairs = vectors.select(F.col(vid).alias("id"), F.col(vector)).join(dense, F.size(vector) == F.size("c")).select("id", "g", sim.alias("similarity"))
-    best = pairs.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("g")).alias("neg"))).alias("b"))
-    return best.select("id", (-F.col("b.neg")).alias("g"), F.col("b.similarity").alias("similarity"))
+    rows = vectors.select(F.col(vid).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    found = similarity.nearest(rows, dense.select(F.col("g").cast("long").alias("id"), F.col("c").alias("v")))
+    return found.select(F.col("left").alias("id"), F.col("right").alias("g"), "similarity")

@@ -6,8 +6,8 @@ from pressloom.operators import geometry
 from pressloom.plans.reference import ATOM, RSS
 from pressloom.sources import config, feeds, reports
 
-SYNDICATED = """<rss><channel><item><title>Ministers agree a deal on boats - The Paper</title><link>https://n.example/1</link><source url="https://paper.example">The Paper</source>
-<description>Ministers agree a deal on boats - The Paper</description></item><item><title>UK</title><link>https://n.example/2</link><source url="https://p">The Paper</source></item></channel></rss>"""
+SYNDICATED = """<rss><channel><item><title>Council approves new harbour wall - The Paper</title><link>https://n.example/1</link><source url="https://paper.example">The Paper</source>
+<description>Council approves new harbour wall - The Paper</description></item><item><title>UK</title><link>https://n.example/2</link><source url="https://p">The Paper</source></item></channel></rss>"""
 
 
 def test_parse_feeds(spark):
@@ -17,10 +17,10 @@ def test_parse_feeds(spark):
     got = {(r["poll_id"], r["position"]): r for r in items.collect()}
     assert set(got) == {("r", 0), ("r", 1), ("z", 0), ("z", 1), ("a", 0), ("s", 0)}
     first = got[("r", 0)]
-    assert (first["title"], first["url_canon"], first["standfirst"]) == ("Budget day", "https://example.co.uk/a/b?id=7", "A standfirst with markup in it.")
-    assert str(first["published_at"]) == "2025-09-01 08:20:00" and first["guid"] == "g1"
-    assert got[("a", 0)]["url"] == "https://b.example/x" and str(got[("a", 0)]["published_at"]) == "2025-09-01 08:20:00"
-    assert (got[("s", 0)]["title"], got[("s", 0)]["standfirst"]) == ("Ministers agree a deal on boats", None)
+    assert (first["title"], first["url_canon"], first["standfirst"]) == ("Harbour dredging starts", "https://quay.example/town/dredging?page=2", "Boats wait outside the bar.")
+    assert str(first["published_at"]) == "2026-03-05 06:45:00" and first["guid"] == "quay-81"
+    assert got[("a", 0)]["url"] == "https://beam.example/light" and str(got[("a", 0)]["published_at"]) == "2026-03-05 06:45:00"
+    assert (got[("s", 0)]["title"], got[("s", 0)]["standfirst"]) == ("Council approves new harbour wall", None)
     told = {r["poll_id"]: (r["items"], r["dated"]) for r in feeds.feed_check(df, items).collect()}
     assert told["r"] == (2, 1) and told["bad"] == (0, 0)
 

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from pressloom.operators import archive, audit, clustering, dedup, frame, geometry, health, robots, sampling, scoring, timeline, vectors
+from pressloom.operators import archive, audit, clustering, dedup, frame, geometry, health, robots, sampling, scoring, similarity, timeline, vectors
 
 
 # --- copy -------------------------------------------------------------------------------------------
@@ -235,26 +235,63 @@ def test_leader_groups_find_planted_stories_in_any_order(spark):
     assert all(r["name"].startswith("Title ") and " - " not in r["name"] for r in names.collect())
 
 
-def test_identity_over_days():
-    keep = clustering.Identity()
+def day_of(spark, clusters, stories, day, **kw):
+    frame = spark.createDataFrame(clusters, "key string, centroid array<double>, n long")
+    before = stories if stories is not None else spark.createDataFrame([], clustering.STORY)
+    chosen, after = clustering.identity_step(frame, before, day, **kw)
+    return {r["key"]: r["story_id"] for r in chosen.collect()}, after
+
+
+def status(stories):
+    return {r["id"]: r["status"] for r in stories.collect()}
+
+
+def test_stories_keep_their_ids(spark):
     e = np.eye(16)
-    chosen, stories = keep.step([{"key": "a", "centroid": e[0].tolist(), "n": 3}], [], 0, first_id=321)
+    chosen, stories = day_of(spark, [("a", e[0].tolist(), 3)], None, 0, first_id=321)
     assert chosen == {"a": 321}
-    for day in range(1, 3):
-        chosen, stories = keep.step([{"key": "x", "centroid": (e[0] + 0.1 * e[day]).tolist(), "n": 1}], stories, day)
-        assert chosen == {"x": 321}
-    _, stories = keep.step([], stories, 4)
-    assert stories[0]["status"] == "dormant"
-    _, stories = keep.step([], stories, 8)
-    assert stories[0]["status"] == "closed"
-    chosen, stories = keep.step([{"key": "y", "centroid": e[0].tolist(), "n": 1}], stories, 9)
-    assert chosen["y"] == 322  # a closed story does not come back
-    near = [{"key": "p", "centroid": (0.8 * e[0] + 0.6 * e[5]).tolist()}, {"key": "q", "centroid": (0.8 * e[0] + 0.6 * e[6]).tolist()}]
-    chosen, stories = keep.step(near, stories, 10)
-    assert len(set(chosen.values())) == 2
-    twins = [{"key": "m", "centroid": e[9].tolist(), "n": 1}, {"key": "n", "centroid": (e[9] + 0.1 * e[10]).tolist(), "n": 2}]
-    chosen, stories = clustering.Identity().step(twins, [], 0)
-    assert chosen["m"] == chosen["n"] == 1 and {s["status"] for s in stories} == {"live", "merged"}
+    chosen, stories = day_of(spark, [("x", (e[0] + 0.1 * e[1]).tolist(), 1)], stories, 1)
+    assert chosen == {"x": 321}
+    got = stories.first()
+    assert got["n_articles"] == 4 and abs(got["centroid"][1] - 0.035) < 1e-9
+    assert status(day_of(spark, [], stories, 3)[1]) == {321: "dormant"}
+    _, closed = day_of(spark, [], stories, 7)
+    assert status(closed) == {321: "closed"}
+    assert day_of(spark, [("y", e[0].tolist(), 1)], closed, 8)[0] == {"y": 322}  # it does not come back
+    near = [("p", (0.8 * e[0] + 0.6 * e[5]).tolist(), 1), ("q", (0.8 * e[0] + 0.6 * e[6]).tolist(), 1)]
+    assert set(day_of(spark, near, stories, 2)[0].values()) == {321, 322}  # one of two near clusters only
+
+
+def test_converged_stories_become_the_eldest(spark):
+    e = np.eye(16)
+    twins = [("m", e[9].tolist(), 1), ("n", (e[9] + 0.1 * e[10]).tolist(), 2), ("z", e[2].tolist(), 1)]
+    chosen, stories = day_of(spark, twins, None, 0)
+    assert chosen == {"m": 1, "n": 1, "z": 3}
+    rows = {r["id"]: r for r in stories.collect()}
+    assert rows[2]["status"] == "merged" and rows[2]["merged_into"] == 1 and rows[1]["n_articles"] == 3
+
+
+def test_both_ways_of_matching_agree(spark):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(30), rng.randrange(30)): round(rng.random(), 1) for _ in range(200)}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "left long, right long, similarity double")
+    one = {tuple(r) for r in clustering.greedy_pairs(df).collect()}
+    assert one == {tuple(r) for r in clustering.greedy_pairs(df, single_task=0).collect()} and one
+
+
+def test_blocks_of_vectors_meet_as_a_whole(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(70, 4)), rng.normal(size=(30, 4))
+    la = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(900, None), (901, [1.0])], "id long, v array<double>")
+    rb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)], "id long, v array<double>")
+    sims = similarity.unit(a) @ similarity.unit(b).T
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(sims >= 0.5), strict=True)}
+    for sent in (similarity.SENT_BYTES, 0):
+        monkeypatch.setattr(similarity, "SENT_BYTES", sent)
+        monkeypatch.setattr(similarity, "LEFT_BLOCK", 25)
+        monkeypatch.setattr(similarity, "RIGHT_BLOCK", 11)
+        assert {(r["left"], r["right"]) for r in similarity.pairs_at_least(la, rb, 0.5).collect()} == want
+        assert {r["left"]: r["right"] for r in similarity.nearest(la, rb).collect()} == {i: int(j) for i, j in enumerate(sims.argmax(axis=1))}
 
 
 def test_lifetimes_and_spread(spark):
@@ -313,7 +350,10 @@ def test_vectors_are_of_length_one(spark):
 
 
 def test_robots(spark):
-    rules = robots.parse_rules(spark, "s", "User-agent: *\nDisallow: /private\nAllow: /private/open # yes\n\nUser-agent: Bot\nDisallow:\n")
+    text = "Sitemap: x\nDisallow: /early\nUser-agent: *\r\nDisallow: /private\nno directive\nAllow: /private/open # yes\n\nUSER-AGENT: Bot\nUser-agent: Twin\nDisallow:\n"
+    rules = robots.rules(spark.createDataFrame([("s", text), ("none", None)], "site string, text string"))
+    told = {(r["agent"], r["kind"], r["prefix"]) for r in rules.collect()}
+    assert told == {("*", "disallow", "/private"), ("*", "allow", "/private/open"), ("bot", "disallow", ""), ("twin", "disallow", "")}
     ask = spark.createDataFrame([("s", "Other", "/private/x"), ("s", "Other", "/private/open/1"), ("s", "Bot", "/private/x"), ("s", "Other", "/")], "site string, agent string, path string")
     got = {(r["agent"], r["path"]): (r["via"], r["allowed"]) for r in robots.decisions(rules, ask).collect()}
     assert got == {("other", "/private/x"): ("*", False), ("other", "/private/open/1"): ("*", True), ("bot", "/private/x"): ("bot", True), ("other", "/"): ("*", True)}
