@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text (problem 8).
 
 Method: training suffix arrays. The corpus is read in shards. Of each shard's token stream a suffix
-array is made: suffixes ordered by their first k tokens, where ranks of 1, 2, 4, 8 and 16 tokens come
-from prefix doubling. Every suffix of every test item is then found by binary search, which gives all
-places that agree with it on k tokens; places on one diagonal join to the longest verbatim match.
+array is made: suffixes ordered by their first k tokens, where ranks of 1, 2, 4, 8, ... tokens come from
+prefix doubling. Every suffix of every test item is then found by binary search, which gives all places
+that agree with it on k tokens. The longest verbatim match of a document and an item is found on these
+places by steps of halved length; its first place and the number of all places are told.
 Suffixes that begin with a token, pair, four or eight tokens no test item has are left out of the
 array as soon as that rank is known: they cannot match, and what is sorted stays small.
 
@@ -72,11 +73,11 @@ class Queries:
     ids: np.ndarray
 
 
-def _double(rank: np.ndarray, step: int, base: int) -> np.ndarray:
-    """Keys of twice the length; -1 where either half is missing."""
-    right = np.full(len(rank), -1, np.int64)
-    right[:-step] = rank[step:] if step < len(rank) else right[:-step]
-    return np.where((rank >= 0) & (right >= 0), rank * base + right, -1)
+def _double(rank: np.ndarray, step: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at which both halves of twice the length are known, and their keys."""
+    at = np.flatnonzero(rank[: max(len(rank) - step, 0)] >= 0)
+    at = at[rank[at + step] >= 0]
+    return at, rank[at] * base + rank[at + step]
 
 
 def compile_items(items: list[tuple[int, list[str]]], least: int) -> Queries | None:
@@ -90,58 +91,58 @@ def compile_items(items: list[tuple[int, list[str]]], least: int) -> Queries | N
         stream += [vocab.setdefault(t, len(vocab)) for t in tokens] + [-1]
         item += [k] * (len(tokens) + 1)
         offset += range(len(tokens) + 1)
-    rank = np.array(stream, np.int64)
-    ranks, tables, step, base = [rank], [], 1, len(vocab)
-    while step * 2 <= least:
-        key = _double(ranks[-1], step, base)
-        table = np.unique(key[key >= 0])
-        tables.append(table)
-        new = np.where(key >= 0, np.searchsorted(table, key), -1)
+    ranks, tables, step, base = [np.array(stream, np.int64)], [], 1, len(vocab)
+    longest = max(len(t) for _, t in items)
+    while step * 2 <= longest:
+        at, key = _double(ranks[-1], step, base)
+        tables.append(np.unique(key))
+        new = np.full(len(stream), -1, np.int64)
+        new[at] = np.searchsorted(tables[-1], key)
         ranks.append(new)
-        step, base = step * 2, max(len(table), 1)
+        step, base = step * 2, max(len(tables[-1]), 1)
     need = np.array([min(least, len(t)) for _, t in items])
     return Queries(vocab, tables, ranks, np.array(item), np.array(offset), need, np.array([i for i, _ in items], np.int64))
 
 
 def _shard_ranks(q: Queries, stream: np.ndarray) -> list[np.ndarray]:
+    """Ranks of a shard's suffixes among the items' ones; -1 where no item goes on like that."""
     ranks, step, base = [stream], 1, len(q.vocab)
     for table in q.tables:
-        key = _double(ranks[-1], step, base)
-        at = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
-        known = (key >= 0) & (len(table) > 0)
-        known[known] = table[at[known]] == key[known]
-        ranks.append(np.where(known, at, -1))
+        at, key = _double(ranks[-1], step, base)
+        new = np.full(len(stream), -1, np.int64)
+        if len(table) and len(at):
+            found = np.minimum(np.searchsorted(table, key), len(table) - 1)
+            known = table[found] == key
+            new[at[known]] = found[known]
+        ranks.append(new)
         step, base = step * 2, max(len(table), 1)
     return ranks
 
 
-def _depth_key(ranks: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that have k tokens known to the items, and their key of that depth.
+def _keys(q: Queries, ranks: list[np.ndarray], at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the positions have k tokens known to the items, and their keys of that depth.
 
     One rank of the greatest power of two within k, and where that is short of k the same rank once
-    more, ending at k.
+    more, ending at k. Keys differ wherever the tokens do: the base is the number of ranks.
     """
-    level = min(k.bit_length() - 1, len(ranks) - 1)
-    n = len(ranks[0])
-    whole = np.flatnonzero(ranks[level] >= 0)
-    parts = [(level, 0)] + ([(level, k - (1 << level))] if k > 1 << level else [])
-    whole = whole[whole + k <= n]
-    cols = [ranks[lv][whole + s] for lv, s in parts]
-    ok = np.ones(len(whole), bool)
-    for c in cols:
-        ok &= c >= 0
-    whole, cols = whole[ok], [c[ok] for c in cols]
-    key = cols[0].astype(np.int64)
-    for c in cols[1:]:
-        key = key * np.int64(1 << 24) + c
-    return whole, key
+    level = k.bit_length() - 1
+    base = len(q.vocab) if level == 0 else max(len(q.tables[level - 1]), 1)
+    rank, rest = ranks[level], k - (1 << level)
+    kept = np.flatnonzero((at + rest < len(rank)) & (rank[at] >= 0))
+    if rest:
+        kept = kept[rank[at[kept] + rest] >= 0]
+        return kept, rank[at[kept]] * base + rank[at[kept] + rest]
+    return kept, rank[at[kept]]
 
 
 def longest_matches(q: Queries, tokens: list[list[str]]) -> pd.DataFrame:
-    """``doc, item, longest, at``: of each document (by index) and item the longest verbatim match.
+    """``doc, item, longest, at, places``: of each document (by index) and item the longest verbatim match.
 
-    ``at`` is the document's token at which it starts (the first of equally long ones).
+    ``at`` is the document's token at which it starts (the first of equally long ones), ``places`` the
+    number of the document's tokens at which a match of the length asked for starts. Repeats do not
+    multiply: a document's places meet an item once, however often the item says the same.
     """
+    none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("doc", "item", "longest", "at", "places")})
     get = q.vocab.get
     sizes = np.array([len(t) for t in tokens])
     stream = np.full(int(sizes.sum()) + len(tokens), -1, np.int64)
@@ -149,35 +150,67 @@ def longest_matches(q: Queries, tokens: list[list[str]]) -> pd.DataFrame:
     for s, t in zip(starts, tokens, strict=True):
         stream[s : s + len(t)] = np.fromiter((get(w, -1) for w in t), np.int64, len(t))
     ranks = _shard_ranks(q, stream)
+    everywhere, own = np.arange(len(stream)), np.arange(len(q.item))
     found = []
-    for k in np.unique(q.need):
-        place, key = _depth_key(ranks, int(k))
-        if not len(place):
+    for k in np.unique(q.need).tolist():
+        kept, key = _keys(q, ranks, everywhere, k)
+        if not len(kept):
             continue
         order = np.argsort(key, kind="stable")  # the shard's suffix array to depth k
-        array, place = key[order], place[order]
-        asked, want = _depth_key(q.ranks, int(k))
-        mine = q.need[q.item[asked]] == k
-        asked, want = asked[mine], want[mine]
+        array, place = key[order], kept[order]
+        mine = own[q.need[q.item] == k]
+        asked, want = _keys(q, q.ranks, mine, k)
+        asked = q.item[mine[asked]]
+        want, asked = np.unique(np.stack([want, asked]), axis=1)  # what an item says twice is asked once
         lo, hi = np.searchsorted(array, want, "left"), np.searchsorted(array, want, "right")
         many = hi - lo
-        if not many.sum():
-            continue
-        each = np.repeat(np.arange(len(asked)), many)
-        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        found.append((place[np.repeat(lo, many) + inside], asked[each], np.full(len(each), k)))
+        if many.sum():
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            found.append((place[np.repeat(lo, many) + inside], np.repeat(asked, many), np.full(many.sum(), k)))
     if not found:
-        return pd.DataFrame({"doc": [], "item": [], "longest": [], "at": []}).astype(np.int64)
-    pos, ask, k = (np.concatenate(x) for x in zip(*found, strict=True))
+        return none
+    pos, item, length = (np.concatenate(x) for x in zip(*found, strict=True))
     doc = np.searchsorted(starts, pos, "right") - 1
-    item, offset = q.item[ask], q.offset[ask]
-    hits = pd.DataFrame({"doc": doc, "item": item, "diagonal": pos - offset, "pos": pos, "k": k}).sort_values(["doc", "item", "diagonal", "pos"], kind="stable")
-    same = (hits[["doc", "item", "diagonal"]].diff() == 0).all(axis=1) & (hits["pos"].diff() == 1)
-    run = (~same).cumsum()
-    runs = hits.groupby(run, sort=False).agg(doc=("doc", "first"), item=("item", "first"), pos=("pos", "first"), n=("pos", "size"), k=("k", "first"))
-    runs["longest"] = runs["n"] + runs["k"] - 1
-    best = runs.sort_values(["doc", "item", "longest", "pos"], ascending=[True, True, False, True], kind="stable").drop_duplicates(["doc", "item"])
-    return pd.DataFrame({"doc": best["doc"], "item": q.ids[best["item"]], "longest": best["longest"], "at": best["pos"] - starts[best["doc"]]}).reset_index(drop=True)
+    pair, which = np.unique(doc * len(q.ids) + item, return_inverse=True)
+    places = np.bincount(which)
+    # the places of each pair go on as far as any of them agrees: lengths by halving steps
+    best = np.zeros(len(pair), np.int64)
+    best[which] = length
+    step = 1 << (len(q.tables))
+    while step:
+        grown = best + step
+        reach = np.zeros(len(pair), bool)
+        for k in np.unique(grown).tolist():
+            if k.bit_length() - 1 >= len(ranks):
+                continue
+            try_ = np.flatnonzero(grown[which] == k)
+            kept, key = _keys(q, ranks, pos[try_], k)
+            try_ = try_[kept]
+            if not len(try_):
+                continue
+            theirs, want = _keys(q, q.ranks, own, k)
+            table = np.unique(want)
+            said = np.unique(np.searchsorted(table, want) * len(q.ids) + q.item[own[theirs]])
+            at = np.searchsorted(table, key)
+            known = (at < len(table)) & (table[np.minimum(at, max(len(table) - 1, 0))] == key) if len(table) else np.zeros(len(key), bool)
+            hit = known & np.isin(at * len(q.ids) + item[try_], said)
+            reach[which[try_[hit]]] = True
+        best = np.where(reach, grown, best)
+        step //= 2
+    # the first place of that length
+    first = np.full(len(pair), np.iinfo(np.int64).max)
+    for k in np.unique(best).tolist():
+        try_ = np.flatnonzero(best[which] == k)
+        kept, key = _keys(q, ranks, pos[try_], k)
+        try_ = try_[kept]
+        theirs, want = _keys(q, q.ranks, own, k)
+        table = np.unique(want)
+        said = np.unique(np.searchsorted(table, want) * len(q.ids) + q.item[own[theirs]])
+        at = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
+        hit = (table[at] == key) & np.isin(at * len(q.ids) + item[try_], said)
+        np.minimum.at(first, which[try_[hit]], pos[try_[hit]])
+    d = pair // len(q.ids)
+    return pd.DataFrame({"doc": d, "item": q.ids[pair % len(q.ids)], "longest": best, "at": first - starts[d], "places": places})
 
 
 def _scan(shared):  # noqa: ANN001
@@ -190,10 +223,10 @@ def _scan(shared):  # noqa: ANN001
         def flush() -> Iterator[pd.DataFrame]:
             if by_word is not None:
                 m = longest_matches(by_word, [words(t) for t in texts])
-                yield pd.DataFrame({"doc_id": np.array(ids, np.int64)[m["doc"].to_numpy(np.int64)], "item_id": m["item"], "longest": m["longest"], "at": m["at"]})
+                yield pd.DataFrame({"doc_id": np.array(ids, np.int64)[m["doc"].to_numpy(np.int64)], "item_id": m["item"], "longest": m["longest"], "at": m["at"], "places": m["places"]})
             if by_char is not None and (cjk := [i for i, t in enumerate(texts) if _CJK.search(t)]):
                 m = longest_matches(by_char, [characters(texts[i]) for i in cjk])
-                yield pd.DataFrame({"doc_id": np.array(ids, np.int64)[np.array(cjk)[m["doc"].to_numpy(np.int64)]], "item_id": m["item"], "longest": m["longest"], "at": m["at"]})
+                yield pd.DataFrame({"doc_id": np.array(ids, np.int64)[np.array(cjk)[m["doc"].to_numpy(np.int64)]], "item_id": m["item"], "longest": m["longest"], "at": m["at"], "places": m["places"]})
 
         for pdf in batches:
             for i, t in zip(pdf["id"], pdf["text"], strict=True):
@@ -210,7 +243,7 @@ def _scan(shared):  # noqa: ANN001
 
 
 def leaks(spark: SparkSession, docs: DataFrame, did: str, text: str, items: DataFrame, iid: str, item_text: str, item_lang: str) -> DataFrame:
-    """``doc_id, item_id, longest, at``: documents that hold an item, fully or partly.
+    """``doc_id, item_id, longest, at, places``: documents that hold an item, fully or partly.
 
     A document holds an item if at least ``WORDS`` consecutive words of it (``CHARACTERS`` characters
     in languages of ``BY_CHARACTER``), or all of a shorter one, stand in it. Repeated rows count once,
@@ -228,7 +261,7 @@ def leaks(spark: SparkSession, docs: DataFrame, did: str, text: str, items: Data
             text_ = plain(r["t"])
             split[by_char].append((r["i"], characters(text_) if by_char else words(text_)))
         shared = spark.sparkContext.broadcast((compile_items(split[False], WORDS), compile_items(split[True], CHARACTERS)))
-        return corpus.mapInPandas(_scan(shared), "doc_id long, item_id long, longest long, at long")
+        return corpus.mapInPandas(_scan(shared), "doc_id long, item_id long, longest long, at long, places long")
 
     for r in told.toLocalIterator():
         block.append(r)
@@ -240,7 +273,8 @@ def leaks(spark: SparkSession, docs: DataFrame, did: str, text: str, items: Data
         part = scan(block)
         out = part if out is None else out.union(part)
     best = F.max(F.struct("longest", (-F.col("at")).alias("at")))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.longest").alias("longest"), (-F.col("b.at")).alias("at"))
+    found = out.groupBy("doc_id", "item_id").agg(best.alias("b"), F.max("places").alias("places"))
+    return found.select("doc_id", "item_id", F.col("b.longest").alias("longest"), (-F.col("b.at")).alias("at"), "places")
 
 
 def without_leaks(docs: DataFrame, did: str, found: DataFrame) -> DataFrame:

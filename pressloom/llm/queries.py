@@ -64,8 +64,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document and item: the longest verbatim match and the token at which it starts."""
-    return _leaks(spark, sf_dir).select("doc_id", "item_id", "longest", "at")
+    """Per document and item: the longest verbatim match, the token at which it starts, and all places of a match."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", "longest", "at", "places")
 
 
 def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:

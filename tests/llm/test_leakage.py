@@ -1,4 +1,7 @@
 import random
+import time
+
+import numpy as np
 
 from pressloom.llm import leakage as L
 
@@ -91,3 +94,19 @@ def test_documents_without_leaks(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     f = spark.createDataFrame([(1, 5)], "doc_id long, item_id long")
     assert [r["doc_id"] for r in L.without_leaks(d, "doc_id", f).collect()] == [2]
+
+
+def test_repeats_do_not_multiply():
+    q = L.compile_items([(1, ["x"] * 3000), (2, ["x", "y"] * 1500)], L.WORDS)
+    began = time.perf_counter()
+    got = L.longest_matches(q, [["x"] * 2000, ["y", "x"] * 4000 + ["z"]])
+    assert time.perf_counter() - began < 5
+    assert {tuple(r) for r in got[["doc", "item", "longest", "at", "places"]].to_numpy().tolist()} == {(0, 1, 2000, 0, 1989), (1, 2, 3000, 1, 7989)}
+
+
+def test_keys_stay_apart_at_any_number_of_ranks():
+    """Two ranks of a key are told apart whatever the number of different windows."""
+    tokens = [str(k) for k in range(5000)]
+    q = L.compile_items([(1, tokens)], L.WORDS)
+    kept, key = L._keys(q, q.ranks, np.arange(len(q.item)), 12)
+    assert len(np.unique(key)) == len(kept) == 5000 - 11
