@@ -8,12 +8,15 @@ Method: density peaks over blocked neighbour joins.
    of the number of points), the hottest for sure and no two equal. Every point joins the blocks of
    its ``BLOCKS`` nearest pivots. Pivots follow the data, so a hot cluster has as many blocks as it
    deserves; blocks beyond ``TILE`` points are cut into tiles that meet pairwise in separate tasks.
-3. In a block matrix products, strip by strip, give all similarities. A point's local density there is
-   the weight of its neighbours in the block; its pointer goes to the nearest denser neighbour
-   (ties by id); points without one are local peaks. Peaks whose points touch are one group, as the
-   groups asked for are chains of neighbours.
-4. Pointers and peak links are followed to labels by connected components.
-5. Where densities are asked for, all pairs of each cluster are compared (:func:`with_density`).
+3. In a block matrix products, strip by strip, give all similarities. A point's local density is the
+   weight of its neighbours in its home block, that of its nearest pivot: one number per point, counted
+   once, by which all blocks order their points.
+4. In each block a point's pointer goes to its nearest denser neighbour (ties by id). The nearest over
+   all blocks is its distance to a denser record; a point without one within the threshold is a peak.
+   Groups are asked for as chains of neighbours, so peaks whose points touch are one group.
+5. Pointers and peak links are followed to labels by connected components.
+6. :func:`describe` tells of a cluster its size, its peaks of greatest density times distance, and its
+   most typical members; for these all pairs of the cluster are compared (:func:`with_density`).
 
 Vectors travel as 16-bit integers; pairs within ``MARGIN`` of the threshold are decided again on the
 stored vectors. Recall of the blocks is measured against brute force in the tests.
@@ -138,12 +141,14 @@ def _assign(pivots, offsets: dict[str, int], blocks: int):  # noqa: ANN001, ANN2
                     blobs = sub["q"].to_numpy()
                     sims = unpack(blobs, len(sub)) @ p.T
                     near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+                    home = np.take_along_axis(sims, near, axis=1).argmax(axis=1)[:, None] == np.arange(m)[None, :]
                     yield pd.DataFrame(
                         {
                             "block": (near + offsets[model]).ravel(),
                             "rep": np.repeat(sub["rep"].to_numpy(), m),
                             "weight": np.repeat(sub["weight"].to_numpy(np.float32), m),
                             "q": np.repeat(blobs, m),
+                            "home": home.ravel(),
                         }
                     )
 
@@ -169,53 +174,48 @@ class _Links:
             sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2.0
             yield s, sims
 
-    def first_pass(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weight of each point's neighbours here, and the pairs too near the threshold to tell."""
-        density = np.zeros(self.n, np.float64)
+    def first_pass(self) -> tuple[np.ndarray, np.ndarray]:
+        """Finds the neighbours; returns the pairs too near the threshold to tell."""
         kept: list | None = []
         total, da, db = 0, [], []
-        light = weight.astype(np.float32)
         for s, sims in self._strips():
             near = sims >= self.hi
             i, j = np.nonzero((sims >= self.lo) & ~near)
             half = i + s < j
             da.append(i[half] + s)
             db.append(j[half])
-            count = int(np.count_nonzero(near))
-            total += count
+            total += int(np.count_nonzero(near))
             if kept is not None and total > FEW_LINKS:
                 kept = None
             if kept is not None:
                 i, j = np.nonzero(near)
-                density[s : s + STRIP] = np.bincount(i, weight[j], len(sims))
                 kept.append(((i + s).astype(np.int32), j.astype(np.int32), sims[i, j]))
-            else:
-                density[s : s + STRIP] = near.astype(np.float32) @ light
         if kept:
             self.few = tuple(np.concatenate(x) for x in zip(*kept, strict=True))  # type: ignore[assignment]
-        return density, np.concatenate(da) if da else np.empty(0, int), np.concatenate(db) if db else np.empty(0, int)
+        return np.concatenate(da) if da else np.empty(0, int), np.concatenate(db) if db else np.empty(0, int)
 
-    def pointers(self, rank: np.ndarray) -> np.ndarray:
-        """Each point's nearest denser neighbour (of equally near ones the densest), else itself."""
-        pointer = np.arange(self.n)
+    def pointers(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each point's nearest denser neighbour (of equally near ones the densest), else itself; and how near."""
+        pointer, nearness = np.arange(self.n), np.full(self.n, -2.0, np.float32)
         if self.few is not None:
             i, j, value = self.few
             up = rank[j] < rank[i]
             i, j, value = i[up], j[up], value[up]
             by = np.lexsort((rank[j], -value, i))
-            i, j = i[by], j[by]
+            i, j, value = i[by], j[by], value[by]
             lead = np.ones(len(i), bool)
             lead[1:] = i[1:] != i[:-1]
-            pointer[i[lead]] = j[lead]
-            return pointer
+            pointer[i[lead]], nearness[i[lead]] = j[lead], value[lead]
+            return pointer, nearness
         order = np.argsort(rank)  # columns by density: the first greatest is the densest
         for s, sims in self._strips():
             sims = sims[:, order]
             sims[(sims < self.hi) | (np.arange(self.n)[None, :] >= rank[s : s + STRIP, None])] = -2.0
             best = sims.argmax(axis=1)
-            has = sims[np.arange(len(sims)), best] > -2.0
-            pointer[s : s + STRIP][has] = order[best[has]]
-        return pointer
+            value = sims[np.arange(len(sims)), best]
+            has = value > -2.0
+            pointer[s : s + STRIP][has], nearness[s : s + STRIP][has] = order[best[has]], value[has]
+        return pointer, nearness
 
     def touching(self, peak: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Peaks whose points are neighbours, each with the least peak it is so chained to."""
@@ -239,33 +239,58 @@ class _Links:
         return a, b
 
 
-def _block_links(threshold: float):  # noqa: ANN202
+def _home_density(threshold: float):  # noqa: ANN202
+    """Of one block (or pair of tiles) the weight of the neighbours of the points that are at home in it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, weight, home = unpack(pdf["q"].to_numpy(), len(pdf)), pdf["weight"].to_numpy(np.float64), pdf["home"].to_numpy(bool)
+        tile, total = pdf["tile"].to_numpy(), np.zeros(len(pdf))
+        sides = {(int(pdf["first"].iloc[0]), int(pdf["second"].iloc[0]))}
+        sides |= {(b, a) for a, b in sides}
+        for mine, other in sides:
+            at, across = np.flatnonzero(home & (tile == mine)), np.flatnonzero(tile == other)
+            columns = v[across].T
+            for s in range(0, len(at), STRIP):
+                near = (v[at[s : s + STRIP]] @ columns) >= threshold
+                total[at[s : s + STRIP]] += near.astype(np.float64) @ weight[across]
+        return pd.DataFrame({c: pdf[c].to_numpy() for c in ("block", "first", "second", "rep")} | {"w": total})
+
+    return run
+
+
+def _block_links(threshold: float, tell: bool):  # noqa: ANN202
     """All links of one block (or pair of tiles) as pointers and doubtful pairs.
 
     Rows out: kind 0 link (a, b), along pointers or between peaks whose points touch; 2 pair too near
-    the threshold.
+    the threshold; 1, if ``tell``, pointer of a to its nearest denser neighbour b here, with similarity s.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, densities: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
-        rep, weight = pdf["rep"].to_numpy(np.int64), pdf["weight"].to_numpy(np.float64)
+        rep = pdf["rep"].to_numpy(np.int64)
+        density = densities.sort_values("rep", kind="stable")["density"].to_numpy(np.float64)
         n = len(rep)
         links = _Links(unpack(pdf["q"].to_numpy(), n), threshold)
-        density, da, db = links.first_pass(weight)
+        da, db = links.first_pass()
         order = np.lexsort((rep, -density))
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        peak = links.pointers(rank)
+        pointer, nearness = links.pointers(rank)
+        peak = pointer
         while not np.array_equal(peak[peak], peak):
             peak = peak[peak]
         ta, tb = links.touching(peak)
-        below = np.flatnonzero(peak != np.arange(n))
-        sizes = (len(below), len(ta), len(da))
+        below = np.flatnonzero(pointer != np.arange(n))
+        told = below if tell else below[:0]
+        sizes = (len(below) + len(ta), len(told), len(da))
+        near = np.zeros(sum(sizes), np.float32)
+        near[sizes[0] : sizes[0] + sizes[1]] = nearness[told]
         return pd.DataFrame(
             {
-                "kind": np.repeat(np.array([0, 0, 2], np.int8), sizes),
-                "a": np.concatenate([rep[below], rep[ta], rep[da]]),
-                "b": np.concatenate([rep[peak[below]], rep[tb], rep[db]]),
+                "kind": np.repeat(np.array([0, 1, 2], np.int8), sizes),
+                "a": np.concatenate([rep[below], rep[ta], rep[told], rep[da]]),
+                "b": np.concatenate([rep[peak[below]], rep[tb], rep[pointer[told]], rep[db]]),
+                "s": near,
             }
         )
 
@@ -273,11 +298,12 @@ def _block_links(threshold: float):  # noqa: ANN202
 
 
 def similarity_clusters(vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int], threshold: float = THRESHOLD, blocks: int = BLOCKS, densities: bool = True) -> DataFrame:
-    """``id, cluster_id, density``: clusters of two or more; ``cluster_id`` the least id of a cluster.
+    """``id, cluster_id, density, distance, peak``: clusters of two or more; ``cluster_id`` the least id of a cluster.
 
     See :func:`usable` for the vectors that count. Points of different models never meet. Equal
-    vectors belong together. ``density`` is of :func:`with_density`; left out if ``densities`` is false.
-    Empty input gives no rows.
+    vectors belong together. ``density`` is of :func:`with_density`, ``distance`` that to the nearest denser
+    record (1 for a peak, and for all that are equal to it), ``peak`` true once per peak; all three are
+    left out if ``densities`` is false. Empty input gives no rows.
     """
     spark = vectors.sparkSession
     unit = cut(usable(vectors, rid, vector, model, lengths), "unit")
@@ -289,10 +315,15 @@ def similarity_clusters(vectors: DataFrame, rid: str, vector: str, model: str, l
     for name, p in pivots.items():
         offsets[name], total = total, total + len(p)
     shared = spark.sparkContext.broadcast(pivots)  # bounded by SAMPLE pivots of a model
-    placed = points.mapInPandas(_assign(shared, offsets, blocks), "block long, rep long, weight float, q binary")
+    placed = points.mapInPandas(_assign(shared, offsets, blocks), "block long, rep long, weight float, q binary, home boolean")
     fullest = max((int(np.ceil(n * blocks / TILE)) for n, _ in counts.values()), default=1)
     tiles = _tile(placed, fullest)
-    found = cut(tiles.groupBy("block", "first", "second").applyInPandas(_block_links(threshold), "kind byte, a long, b long"), "links")
+    key = ["block", "first", "second"]
+    told = tiles.groupBy(*key).applyInPandas(_home_density(threshold), "block long, first int, second int, rep long, w double")
+    # a point has at most ``blocks`` rows, times the tiles of its blocks
+    density = told.select(*key, "rep", F.sum("w").over(Window.partitionBy("rep")).alias("density"))
+    found = tiles.groupBy(*key).cogroup(density.groupBy(*key)).applyInPandas(_block_links(threshold, densities), "kind byte, a long, b long, s float")
+    found = cut(found, "links")
     sure = found.filter("kind = 0").select("a", "b")
     decided = _decide(vectors, rid, vector, found.filter("kind = 2").select("a", "b").distinct(), threshold)
     labels = connected_components(sure.union(decided))
@@ -300,7 +331,12 @@ def similarity_clusters(vectors: DataFrame, rid: str, vector: str, model: str, l
     named = root.select("id", F.coalesce("root", "rep").alias("root"))
     sizes = named.groupBy("root").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).filter("n > 1")
     clusters = named.join(sizes, "root").select("id", "cluster_id")
-    return with_density(clusters, vectors, rid, vector, model, lengths, threshold) if densities else clusters
+    if not densities:
+        return clusters
+    # distance to the nearest denser record: the nearest pointer of all blocks; peaks have none within reach
+    reach = found.filter("kind = 1").groupBy("a").agg((1 - F.max("s")).cast("double").alias("d"))
+    away = members.join(reach, F.col("rep") == F.col("a"), "left").select("id", F.coalesce("d", F.lit(1.0)).alias("distance"), (F.col("d").isNull() & (F.col("id") == F.col("rep"))).alias("peak"))
+    return with_density(clusters, vectors, rid, vector, model, lengths, threshold).join(away, "id")
 
 
 def with_density(clusters: DataFrame, vectors: DataFrame, rid: str, vector: str, model: str, lengths: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
@@ -390,11 +426,14 @@ def _tile(placed: DataFrame, fullest: int) -> DataFrame:
 
 
 def describe(clusters: DataFrame, typical: int = 3) -> DataFrame:
-    """One row per cluster: ``cluster_id, size, typical`` (ids of greatest density, ties by id).
+    """One row per cluster: ``cluster_id, size, peaks, chief, typical``.
 
-    The top ids are picked by bounded aggregates, never by collecting a cluster.
+    ``peaks``: how many density peaks were chained; ``chief``: the peak of greatest density times distance
+    (ties by id); ``typical``: ids of greatest density. The top ids are picked by bounded aggregates,
+    never by collecting a cluster.
     """
     ranked = clusters.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("density"), "id"))).filter(F.col("r") <= typical)
     best = ranked.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("t"))
-    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    return sizes.join(best, "cluster_id").select("cluster_id", "size", F.transform("t", lambda x: x["id"]).alias("typical"))
+    chief = F.max(F.struct((F.col("density") * F.col("distance") * F.col("peak").cast("int")).alias("g"), (-F.col("id")).alias("neg")))
+    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("size"), F.count_if("peak").alias("peaks"), (-chief["neg"]).alias("chief"))
+    return sizes.join(best, "cluster_id").select("cluster_id", "size", "peaks", "chief", F.transform("t", lambda x: x["id"]).alias("typical"))

@@ -137,3 +137,27 @@ def test_density_counts_all_neighbours(spark, monkeypatch):
         assert {r["id"]: r["density"] for r in clusters.collect()} == {i: float(near[i]) for i, _ in whole}
         typical = {r["cluster_id"]: r["typical"] for r in D.describe(clusters).collect()}
         assert typical == {c: sorted((i for i, x in whole if x == c), key=lambda i: (-near[i], i))[:3] for _, c in whole}
+
+
+def test_peaks_and_distances(spark):
+    """Three bundles: each has a peak, and every other point is told how far its nearest denser neighbour is."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(96)[:3]
+    rows = []
+    for k in range(150):
+        v = centres[k % 3] + rng.normal(0, 0.03, 96)
+        rows.append((k, "sentence", v.tolist()))
+    rows.append((150, "sentence", rows[0][2]))  # equal to another
+    df = spark.createDataFrame(rows, "id long, model string, v array<double>").repartition(3)
+    got = {r["id"]: r for r in D.similarity_clusters(df, "id", "v", "model", {"sentence": 96}).collect()}
+    assert set(got) == set(range(151)) and {r["cluster_id"] for r in got.values()} == {0, 1, 2}
+    unit = np.array([v for _, _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    for i, r in got.items():
+        assert 0 < r["distance"] <= 1
+        if not r["peak"] and i != 150 and r["distance"] < 1:  # it is the distance of some neighbour
+            assert np.abs(1 - sims[i] - r["distance"]).min() < 1e-3
+    told = {r["cluster_id"]: r for r in D.describe(spark.createDataFrame(list(got.values()))).collect()}
+    assert all(1 <= t["peaks"] < 25 and got[t["chief"]]["peak"] and got[t["chief"]]["cluster_id"] == c for c, t in told.items())
+    assert {c: t["size"] for c, t in told.items()} == {0: 51, 1: 50, 2: 50}
