@@ -199,6 +199,14 @@ def tolerant_json(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema)
 
 
+def tolerant_json_list(text: Column, schema: str) -> Column:
+    """The JSON list in such a reply, item by item; a single object is a list of one, no JSON is null."""
+    listed = F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), f"array<struct<{schema.replace(' ', ':')}>>")
+    one = tolerant_json(text, schema)
+    begins_with_list = F.regexp_extract(text, r"(?s)^[^\[{]*([\[{])", 1) == "["
+    return F.when(begins_with_list & listed.isNotNull(), listed).otherwise(F.when(one.isNotNull() & text.contains("{"), F.array(one)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays of numbers; 0 where either has no length."""
 

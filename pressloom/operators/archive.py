@@ -105,12 +105,12 @@ def correct(stories: DataFrame, scores: DataFrame, fixes: DataFrame) -> tuple[Da
     A corrected story loses the scores made before the fix. Applying a fix again changes nothing.
     """
     f = fixes.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("issue_id").alias("_issue"), F.col("target").alias("_target"), F.col("made").alias("_made"))
-    j = stories.join(F.broadcast(f), (F.col("id") == F.col("_id")) & F.col("name").eqNullSafe(F.col("_name")), "left")  # hand-written fixes: a short file
+    j = stories.join(f, (F.col("id") == F.col("_id")) & F.col("name").eqNullSafe(F.col("_name")), "left")
     hit = F.col("_id").isNotNull()
     differs = hit & ~(F.col("issue_id").eqNullSafe(F.col("_issue")) & F.col("target").eqNullSafe(F.col("_target")))
     new = {"issue_id": F.when(hit, F.col("_issue")).otherwise(F.col("issue_id")), "target": F.when(hit, F.col("_target")).otherwise(F.col("target")),
            "target_conf": F.when(differs, "corrected").otherwise(F.col("target_conf"))}
     fixed = j.select(*[new.get(c, F.col(c)).alias(c) for c in stories.columns])
     applied = j.filter(hit).select(F.col("_id"), F.col("_made")).distinct()
-    stale = scores.join(F.broadcast(applied), (F.col("story_id") == F.col("_id")) & (F.col("scored_at") < F.col("_made")), "left_anti")
+    stale = scores.join(applied, (F.col("story_id") == F.col("_id")) & (F.col("scored_at") < F.col("_made")), "left_anti")
     return fixed, stale

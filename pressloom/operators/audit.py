@@ -28,6 +28,18 @@ def same_sign(a: Column, b: Column) -> Column:
     return F.signum(a) == F.signum(b)
 
 
+# fixed values: below each bound a kappa says so much of the instructions the labellers had
+KAPPA_BANDS = ((0.4, "ambiguous"), (0.6, "usable"), (0.8, "good"))
+
+
+def kappa_band(kappa: Column) -> Column:
+    """What a kappa says; ``doubtful`` from the last bound on (labellers may have conferred), null of null."""
+    band = F.when(kappa.isNull(), F.lit(None))
+    for bound, name in KAPPA_BANDS:
+        band = band.when(kappa < bound, name)
+    return band.otherwise("doubtful")
+
+
 def weighted_kappa(items: DataFrame, scale: tuple[int, ...] = SCALE) -> DataFrame:
     """One row ``n, kappa``: 1 - sum(w O) / sum(w E), w the squared distance on the scale.
 

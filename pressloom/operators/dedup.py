@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import text as T
 from pressloom.operators.components import connected_components
+from pressloom.session import cut
 
 # fixed values
 THRESHOLD, LEAST_TOKENS, RAREST, POSTINGS = 0.72, 4, 3, 400
@@ -63,8 +64,9 @@ def similar_title_pairs(articles: DataFrame, threshold: float = THRESHOLD) -> Da
 def copy_groups(articles: DataFrame) -> DataFrame:
     """``id, group_id, method``: group is the least id of all linked; method how an article was matched
     first (url before title before jaccard), null where it was not."""
-    same = same_key_edges(articles)
-    near = similar_title_pairs(articles)
+    # links are read three times below: made once
+    same = cut(same_key_edges(articles), "same")
+    near = cut(similar_title_pairs(articles), "near")
     labels = connected_components(same.select("id", "first_id").union(near))
     rank = F.create_map(F.lit("url"), F.lit(1), F.lit("title"), F.lit(2), F.lit("jaccard"), F.lit(3))
     ways = same.select("id", "kind").union(near.select(F.col("a").alias("id"), F.lit("jaccard"))).union(near.select(F.col("b").alias("id"), F.lit("jaccard")))

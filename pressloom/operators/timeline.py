@@ -62,6 +62,12 @@ def bridged(series: DataFrame, keys: list[str], calendar: DataFrame) -> DataFram
     return full.select(*keys, "day", value.alias("vol"))
 
 
+def trimmed(volumes: DataFrame) -> DataFrame:
+    """The volumes up to the last day on which any is above zero; without such a day none."""
+    last = volumes.filter("vol > 0").agg(F.max("day").alias("_last"))
+    return volumes.join(F.broadcast(last), F.col("day") <= F.col("_last")).drop("_last")  # one row
+
+
 def day_leaders(volumes: DataFrame, n: int = TOP_PER_DAY) -> DataFrame:
     """The ``n`` largest stories of each day, ties to the lesser id."""
     w = Window.partitionBy("day").orderBy(F.desc("vol"), "story_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressloom.plans import core_problems, reference, reference_sql
+from pressloom.plans import core_problems, reference, reference_sql, worklists
 from pressloom.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,8 @@ def in_utc(query: Query) -> Query:
 
 
 def core_queries() -> dict[str, Query]:
-    return {k: in_utc(q) for k, q in {**core_problems.queries(), **reference.queries()}.items()}
+    return {k: in_utc(q) for k, q in {**core_problems.queries(), **reference.queries(), **worklists.queries()}.items()}
 
 
 def core_oracle() -> dict[str, str]:
-    return {**core_problems.oracle_sql(), **reference_sql.oracle_sql()}
+    return {**core_problems.oracle_sql(), **reference_sql.oracle_sql(), **worklists.oracle_sql()}

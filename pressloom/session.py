@@ -27,7 +27,8 @@ def build_session(app: str = "pressloom", master: str = "local[8]", shuffle_part
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made and registered.
+    Only where that setting is absent, in local mode, a temporary folder is made and registered: on a
+    cluster executors would write to disks of their own and reads would miss rows, so that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return str(known.get()).rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="pressloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own
