@@ -120,7 +120,7 @@ CAL = """cal AS (SELECT grp, count(*) AS n, avg(a - b) AS bias, avg(abs(a - b))
 PO_OUTLET = "po AS (SELECT pairs.*, outlet_id, coalesce(outlet_id, '_none') AS grp FROM pairs JOIN art ON art.id = pairs.article_id)"
 PO_ISSUE = "po AS (SELECT *, coalesce(issue_id, '_none') AS grp FROM pairs)"
 POS = "pos AS (SELECT poll_id, article_id, row_number() OVER (PARTITION BY poll_id ORDER BY ln, article_id) - 1 AS position FROM (SELECT l_orderkey AS poll_id, l_partkey AS article_id, min(l_linenumber) AS ln FROM lineitem GROUP BY 1, 2))"
-CALENDAR = f"""cal AS (SELECT day, (day IN (SELECT DISTINCT {LONDON.format("polled_at")} FROM pl WHERE error IS NULL AND n_items > 0) AND NOT (dayofmonth(day) IN (11, 12))) AS polled
+CALENDAR = f"""cal AS (SELECT day, (day IN (SELECT DISTINCT {LONDON.format("polled_at")} FROM pl WHERE error IS NULL AND n_items > 0)) AS polled
   FROM (SELECT CAST(unnest(generate_series(min({LONDON.format("first_seen")}), max({LONDON.format("first_seen")}), INTERVAL 1 DAY)) AS DATE) AS day FROM article))"""
 VOL = """vol AS (SELECT story_id, day + k AS day, sum(n * w) AS vol FROM (SELECT story_id, day, count(DISTINCT article_id) AS n FROM rows_ GROUP BY 1, 2), (VALUES (0, 1.0), (1, 0.5), (2, 0.25)) AS c(k, w)
   WHERE day + k <= (SELECT max(day) FROM cal) GROUP BY 1, 2)"""

@@ -115,7 +115,7 @@ def oracle_sql() -> dict[str, str]:
         "next_ids": 'SELECT \'article\' AS "table", coalesce(max(id), 0) + 1 AS next_id FROM article UNION ALL SELECT \'poll\', coalesce(max(id), 0) + 1 FROM poll UNION ALL SELECT \'story\', coalesce(max(id), 0) + 1 FROM story',
         "replaced_scores": w(sql.STATE)
         + " SELECT article_id, issue_id, CASE WHEN issue_id IS NULL THEN 0.0 ELSE stance END AS stance, CASE WHEN issue_id IS NULL THEN 'r9' ELSE rubric_version END AS rubric_version FROM state",
-        "timeline_trim": sql._with(*sql.BY_ISSUE, sql.VOL) + " SELECT strftime(day, '%Y-%m-%d') AS day, round(sum(vol), 6) AS vol FROM vol WHERE day <= (SELECT max(day) FROM vol WHERE vol > 0) GROUP BY 1",
+        "timeline_trim": w(sql.POLLS, sql.CALENDAR, *sql.BY_ISSUE, sql.VOL) + " SELECT strftime(day, '%Y-%m-%d') AS day, round(sum(vol), 6) AS vol FROM vol WHERE day <= (SELECT max(day) FROM vol WHERE vol > 0) GROUP BY 1",
         "json_replies": "SELECT event_id, pos, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events, (VALUES (0), (1)) AS p(pos)",
         "kappa_band": sql.oracle_sql()["agreement_kappa"].join(("SELECT n, CASE WHEN kappa < 0.4 THEN 'ambiguous' WHEN kappa < 0.6 THEN 'usable' WHEN kappa < 0.8 THEN 'good' ELSE 'doubtful' END AS band FROM (", ")")),
     }
