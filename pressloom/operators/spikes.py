@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from pressloom.session import cut
 
-SPAN_DAYS, HALO_DAYS = 56, 21
+SPAN_DAYS, HALO_DAYS = 168, 21
 #: The level looks at readings no further away than this; a longer silence ends any stretch.
 REACH_DAYS = 10
 STATES = ("normal", "spike", "stuck_contents", "stuck_value", "out_of_range")

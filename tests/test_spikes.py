@@ -77,7 +77,7 @@ def test_split_source_equals_whole(spark, monkeypatch):
     rows = [tuple(r) for r in rows]
     monkeypatch.setattr(spikes, "SPAN_DAYS", 1000)
     whole = flags(spark, rows)
-    for days in (9, 56):
+    for days in (9, 56, 168):
         monkeypatch.setattr(spikes, "SPAN_DAYS", days)
         assert flags(spark, rows) == whole
     stuck = {k for k, v in whole.items() if v.startswith("stuck")}
