@@ -362,19 +362,23 @@ def transitions(m: Model) -> np.ndarray:
 
 
 def _lasting(t: np.ndarray, on: np.ndarray, own: np.ndarray, began: float, ends: float) -> np.ndarray:
-    """Hours of the stretch each reading goes on; 0 for readings that open one."""
-    at = np.flatnonzero(own)
-    out = np.zeros(len(t))
-    if len(at) == 0:
-        return out
-    o, time = on[at], t[at]
-    begins = np.flatnonzero(~o)
-    which = np.cumsum(~o) - 1  # -1: the stretch that came in
-    start = np.where(which >= 0, time[begins[np.maximum(which, 0)]] if len(begins) else np.nan, began)
-    end_of = np.append(time[begins[1:] - 1], ends)
-    end = np.where(which >= 0, end_of[np.maximum(which, 0)], time[begins[0] - 1] if len(begins) and begins[0] else ends)
-    out[at] = np.where(o, (end - start) / 3600.0, 0.0)
-    return np.nan_to_num(out)
+    """Hours of the stretch each reading goes on; 0 for readings that open one.
+
+    ``began``, ``ends``: of the stretches that reach over the span's own first and last reading.
+    """
+    mine = np.flatnonzero(own)
+    if len(mine) == 0:
+        return np.zeros(len(t))
+    which = np.cumsum(~on)  # 0: a stretch that began before everything seen here
+    begins = np.flatnonzero(~on)
+    start = np.concatenate([[t[0]], t[begins]])[which]
+    last = np.zeros(which[-1] + 1)
+    np.maximum.at(last, which, t)
+    end = last[which]
+    if on[mine[0]] and np.isfinite(began):
+        start = np.where(which == which[mine[0]], began, start)
+    end = np.where(which == which[mine[-1]], np.maximum(ends, end), end)
+    return np.where(on, (end - start) / 3600.0, 0.0)
 
 
 def _stuck(lasting: np.ndarray, on: np.ndarray, usual: float, ratio: float, m: Model) -> np.ndarray:
