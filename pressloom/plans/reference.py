@@ -160,8 +160,10 @@ def token_rarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d)
-    return vectors.hashed_vectors(a, "id", _headline(), vectors.rarity(a, "id", _headline())).select(F.col("d").alias("id"), "bucket", r("value").alias("value"))
+    # tokens are read three times below: made once
+    a = cut(articles(spark, d).select("id", _headline().alias("tokens")), "tokens")
+    tokens = F.col("tokens")
+    return vectors.hashed_vectors(a, "id", tokens, vectors.rarity(a, "id", tokens)).select(F.col("d").alias("id"), "bucket", r("value").alias("value"))
 
 
 def token_hash(spark: SparkSession, d: str) -> DataFrame:
